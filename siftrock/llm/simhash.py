@@ -92,10 +92,16 @@ def _longs(values: list[int]) -> str:
     return "array(" + ", ".join("-9223372036854775807L - 1L" if _signed(v) == -(1 << 63) else f"{_signed(v)}L" for v in values) + ")"
 
 
-def links(nodes: DataFrame, *, long_from: int = 1_000_000) -> DataFrame:
-    """(a, b): pairs of the distinct values ``fp`` of ``nodes``, a written table, at most four bits apart, that connect all such pairs."""
+def links(nodes: DataFrame, *, long_from: int = 1_000_000, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """(a, b): pairs of the distinct values ``fp`` of ``nodes``, a written table, at most four bits apart, that connect all such pairs.
+
+    The fuller keys, counted first, are broadcast if at most ``broadcast_keys`` of them (some 12 bytes each); beyond
+    that the join shuffles.
+    """
     masks, starts, chains = _ring(2 if nodes.count() < long_from else 3)
     m = len(WIDTHS)
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.repartition(parts)  # a few bytes a row here, dozens of keys a row below
     keys = nodes.select("fp", F.expr(f"posexplode(transform({_longs(masks)}, m -> fp & m)) AS (k, v)"))
     met = keys.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     met = written(met, "simhash-keys")
@@ -105,8 +111,9 @@ def links(nodes: DataFrame, *, long_from: int = 1_000_000) -> DataFrame:
     pairs = met.where("n = 2").where(" AND ".join([*within, f"bit_count(a ^ b) <= {DIFFER}"])).select("a", "b")
 
     near = [0, *(1 << i for i in range(BITS)), *((1 << i) | (1 << j) for i in range(BITS) for j in range(i))]
-    dense = written(keys.join(met.where("n > 2").select("k", "v"), ["k", "v"], "left_semi").select("fp").distinct(), "simhash-dense")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fuller = met.where("n > 2").select("k", "v")
+    fuller = F.broadcast(fuller) if fuller.count() <= broadcast_keys else fuller
+    dense = written(keys.join(fuller, ["k", "v"], "left_semi").select("fp").distinct(), "simhash-dense")
     around = dense.repartition(parts).select("fp", F.explode(F.expr(f"transform({_longs(near)}, m -> fp ^ m)")).alias("v"))
     low = F.min("fp").over(Window.partitionBy("v"))
     stars = around.select(low.alias("a"), F.col("fp").alias("b")).where("a < b")

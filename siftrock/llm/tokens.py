@@ -1,77 +1,104 @@
-"""Encoding of whole texts with the tokenizers library, by cached pieces.
+"""Encoding of whole texts with the tokenizers library, by cached parts.
 
 Most of a corpus is repeated words, and the library spends its time on each of them anew. Where a
 tokenizer's pre-tokenizer always breaks at certain spaces, a text's ids are those of the parts between
-them, one after another; each worker keeps the ids of parts it has met. The parts that are
-new in a batch go to the library as one text, held apart by a special token that ordinary text can't give.
+them, one after another; each worker keeps the ids of parts it has met lately. A new part that is a plain word,
+perhaps with sentence marks, or two such around a line feed, falls into pre-tokens in one way only, and
+these go straight to the library's model; any other new part goes through the whole library.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: "dropped": white space never reaches a token, so any ASCII space or line feed is a border.
+#: "dropped": white space never reaches a token and letters are lower-cased, so any ASCII space or line feed is a border.
 #: "leading": a space before a visible character always opens a token. "whole": no such border is known.
+#: Both rules take runs of letters, and runs of marks, as pre-tokens of byte-level models.
 SPACE_RULES = ("dropped", "leading", "whole")
 _LEADING = re.compile(r" (?=\S)")
+_WORD, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]+"  # the apostrophe opens pre-tokens of its own
+_PLAIN = re.compile(f"({_WORD})({_MARKS})?(?:(\n)({_WORD})({_MARKS})?)?")
 _cache: dict[tuple, PieceEncoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Known(dict):
+    """Ids by part; a part that isn't there is encoded and kept. At ``keep`` parts a new generation begins, and what isn't met in it is forgotten."""
+
+    def __init__(self, tokenizer, spaces: str, code: str, keep: int):
+        super().__init__()
+        self.tokenizer, self.tokenize, self.code, self.keep = tokenizer, tokenizer.model.tokenize, code, keep
+        self.prefix, self.lower = " " if spaces == "leading" else "", spaces == "dropped"
+        self.letters, self.old, self.pieces = byte_letters(), {}, {}
+
+    def turn(self) -> None:
+        if len(self) >= self.keep:
+            self.old = dict(self)
+            self.clear()
+        if len(self.pieces) >= self.keep:
+            self.pieces.clear()
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.old.get(part)
+        if got is None:
+            found = _PLAIN.fullmatch(part)
+            if found is None:
+                got = self.whole(self.prefix + part)
+            else:
+                got, before, pieces = b"", self.prefix, self.pieces
+                for piece in found.groups():
+                    if piece is not None:
+                        piece = before + (piece.lower() if self.lower else piece)
+                        ids = pieces.get(piece)
+                        if ids is None:
+                            form = piece.encode().decode("latin-1").translate(self.letters)
+                            ids = pieces[piece] = array(self.code, [t.id for t in self.tokenize(form)]).tobytes()
+                        got += ids
+                        before = ""
+        self[part] = got
+        return got
+
+
 class PieceEncoder:
-    def __init__(self, path: str, spaces: str = "whole", keep: int = 300_000):
+    def __init__(self, path: str, spaces: str = "whole", keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if spaces not in SPACE_RULES:
             raise ValueError(f"spaces must be one of {SPACE_RULES}")
-        self.spaces, self.keep = spaces, keep
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.plain.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        special = {i: t.content for i, t in self.plain.get_added_tokens_decoder().items() if t.special}
-        self.sep_id, self.sep = next(iter(special.items()), (None, None))
-        self.apart = Tokenizer.from_file(path) if self.sep else None
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: set[str], prefix: str) -> None:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.known = {p: self.known[p] for p in parts if p in self.known}
-        odd = [p for p in new if not self.sep or self.sep in prefix + p]
-        self.known.update(zip(odd, self._encode([prefix + p for p in odd]), strict=True))
-        new = [p for p in new if self.sep and self.sep not in prefix + p]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            ids = np.array(self.apart.encode_batch_fast([self.sep.join(prefix + p for p in some)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.sep_id), len(ids))
-            data, size, start = ids.tobytes(), self.dtype.itemsize, 0
-            for p, end in zip(some, ends.tolist(), strict=True):
-                self.known[p] = data[start * size : end * size]
-                start = end + 1
+        self.spaces, self.tokenizer = spaces, Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.known = Known(self.tokenizer, spaces, self.dtype.char, keep)
+
+    def encode_one(self, text: str) -> bytes:
+        get = self.known.__getitem__
+        if self.spaces == "dropped":
+            if text.isascii():
+                text = text.lower()  # as the tokenizer would; beyond ASCII that is left to it
+            return b"".join(map(get, text.replace("\n", " ").split(" ")))
+        if self.spaces == "leading":
+            first, *parts = _LEADING.split(text)
+            return self.known.whole(first) + b"".join(map(get, parts))
+        return self.known.whole(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned integers of ``dtype``."""
-        if self.spaces == "whole":
-            return self._encode(texts)
-        out: list[bytes] = []
-        for at in range(0, len(texts), 128):
-            some = texts[at : at + 128]
-            if self.spaces == "dropped":
-                parts = [t.replace("\n", " ").split(" ") for t in some]
-                self._learn(set().union(*parts), "")
-                out += [b"".join(map(self.known.__getitem__, p)) for p in parts]
-            else:
-                parts = [_LEADING.split(t) for t in some]
-                first = self._encode([p[0] for p in parts])
-                self._learn(set().union(*(p[1:] for p in parts)), " ")
-                out += [f + b"".join(map(self.known.__getitem__, p[1:])) for f, p in zip(first, parts, strict=True)]
-        return out
+        self.known.turn()
+        return [self.encode_one(t) for t in texts]
 
 
 def encoder(path: str, spaces: str) -> PieceEncoder:
