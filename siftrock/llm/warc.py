@@ -72,8 +72,10 @@ def build_dictionary(pages: DataFrame, *, sample_records: int = 400, sample_byte
     """A dictionary from at most ``sample_records`` records, at most ``sample_bytes`` of each; empty if they are too few."""
     import zstandard
 
-    some = pages.where("length(html) > 0").select("page_id", "url", F.substring("html", 1, sample_bytes).alias("html"))
-    some = some.orderBy(F.xxhash64("page_id", "url"), "page_id").limit(sample_records).collect()
+    some = pages.where("length(html) > 0").select("page_id", "url", F.substring("html", 1, sample_bytes).alias("html"), F.xxhash64("page_id", "url").alias("_h"))
+    # hashes alone first: else every task would send sample_records texts to the driver
+    lowest = [r[0] for r in some.select("_h").orderBy("_h").limit(sample_records).collect()]
+    some = some.where(F.col("_h") <= lowest[-1]).orderBy("_h", "page_id").limit(sample_records).collect() if lowest else []
     records = [record_bytes(r.page_id, r.url, h := r.html.encode("utf-8", "replace"), digest(h), len(h), None, False) for r in some]
     if len(records) < 8:
         return b""
