@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out
+from .shared import hash_cut, held_out
 
 PASSAGE, THRESHOLD = 64, 0.7
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -172,11 +172,13 @@ def fit(bags: list[np.ndarray], y: np.ndarray, *, hidden: int = 16, gates: int =
 def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 3000, doc_id: str = "doc_id", text: str = "text", label: str = "quality", **options) -> AttentionModel:
     """A model from at most ``train_rows`` labelled documents that aren't held out. Half are taken from either label as far as there are such."""
     marks = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("_id")).agg(F.avg(label).alias("_y"))
-    order = [F.xxhash64("_id"), "_id"]
-    zeros = marks.where("_y < 0.5").orderBy(*order).limit(train_rows // 2)
-    ones = marks.where("_y >= 0.5").orderBy(*order).limit(train_rows // 2)
-    chosen = F.broadcast(zeros.unionAll(ones))  # bounded by train_rows
     counts = marks.agg(F.count(F.when(F.col("_y") < 0.5, 1)).alias("n0"), F.count(F.when(F.col("_y") >= 0.5, 1)).alias("n1")).first()
+
+    def smallest(some: DataFrame, total: int) -> DataFrame:
+        cut = hash_cut(train_rows // 2, total)
+        return (some if cut is None else some.where(F.xxhash64("_id") <= cut)).orderBy(F.xxhash64("_id"), "_id").limit(train_rows // 2)
+
+    chosen = F.broadcast(smallest(marks.where("_y < 0.5"), counts.n0).unionAll(smallest(marks.where("_y >= 0.5"), counts.n1)))  # bounded by train_rows
     some = docs.join(chosen, F.col(doc_id) == F.col("_id")).select("_id", "_y", F.col(text).alias("text"))
 
     def encode(batches):
