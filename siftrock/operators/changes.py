@@ -62,17 +62,11 @@ def new_types(diffs: DataFrame) -> DataFrame:
 def unaccompanied(files: DataFrame) -> DataFrame:
     """Schemas of a change without any generated file, pipelines and containers of one without any notes.
 
-    Whether the set holds either is one row, broadcast; files are judged where they lie."""
+    What a file needs and the set lacks is an anti-join against at most two rows; files are judged where they lie."""
     path = F.col("path").cast("string")
-    made = banners(files).select("path").limit(1).agg((F.count(F.lit(1)) > 0).alias("made"))
-    told = files.where(path.rlike(NOTES)).select("path").limit(1).agg((F.count(F.lit(1)) > 0).alias("told"))
-    codes = (
-        ("SCHEMA_NO_CODEGEN", "warning", path.rlike(SCHEMAS) & ~F.col("made")),
-        ("CI_NO_NOTES", "nit", path.rlike(PIPELINES) & ~F.col("told")),
-        ("DOCKERFILE_NO_NOTES", "nit", path.rlike(CONTAINERS) & ~F.col("told")),
-    )
-    fit = files.where(path.rlike(SCHEMAS) | path.rlike(PIPELINES) | path.rlike(CONTAINERS)).select("path")
-    rows = fit.join(F.broadcast(made), F.lit(True)).join(F.broadcast(told), F.lit(True))
-    held = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"))) for c, s, holds in codes]))
-    out = rows.select("path", F.explode(held).alias("x"))
-    return out.select("path", F.lit(1).alias("line"), "x.severity", F.lit("operational").alias("category"), "x.code", path.alias("message"))
+    needs = (("SCHEMA_NO_CODEGEN", "warning", SCHEMAS, "made"), ("CI_NO_NOTES", "nit", PIPELINES, "told"), ("DOCKERFILE_NO_NOTES", "nit", CONTAINERS, "told"))
+    held = [F.when(path.rlike(p), F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), F.lit(n).alias("need"))) for c, s, p, n in needs]
+    rows = files.select(path.alias("path"), F.explode(F.array_compact(F.array(*held))).alias("x")).select("path", "x.*")
+    made, told = banners(files).select(F.lit("made").alias("need")), files.where(path.rlike(NOTES)).select(F.lit("told").alias("need"))
+    out = rows.join(made.unionByName(told).distinct(), "need", "left_anti")
+    return out.select("path", F.lit(1).alias("line"), "severity", F.lit("operational").alias("category"), "code", F.col("path").alias("message"))

@@ -142,7 +142,7 @@ def facts(text: str | None):
                 bound = a.asname or (a.name.split(".")[0] if plain else a.name)
                 known = [bound, a.name] if plain else [bound, module, f"{module}.{a.name}"] if module else []
                 if a.name != "*":
-                    yield node.lineno, "import", bound, known, [], None
+                    yield node.lineno, "import", bound, known, _marks(plain=plain, relative=bool(getattr(node, "level", 0))), None
         elif call := _statement_call(node):
             yield node.lineno, "dropped", _last(call.func), [], [], None
         for field, value in ast.iter_fields(node):

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftrock.functions.text import lines, severity
-from siftrock.operators import classify, findings, joins, rules
+from siftrock.operators import classify, entry_points, findings, joins, rules
 from siftrock.sources.tables import document_files, table
 
 WORD = "[A-Za-z]+"
 CONTEXT = rules.Context({"COMMA_END": r",$", "DOT_WORD": r"\. The "}, r"[0-9]", 2, 2)
 GLOBS = {"first": ["src1*"], "even": ["src*0", "src*2", "src*4", "src*6", "src*8"], "single": ["src?"]}
+OPENINGS = [entry_points.Pattern("text", "opening", (), r"(?m)^(?P<first>[A-Z][a-z]+) (?P<next>[a-z]+)", "{first} {next}"), entry_points.Pattern("text", "mail", (), "(?P<name>[a-z]+)@[a-z]+", "{name}")]
 DOMAINS = {"mail": "[a-z]+@[a-z]+", "license": "[Ll]icense", "digits": "[0-9]{4,}"}
 
 
@@ -40,6 +41,11 @@ def followed_within(spark, d):
     return rules.followed_by(errors, e.where("event_type = 'purchase'").select("user_id", "at"), ["user_id"], "at", 600_000_000)
 
 
+def pattern_sites(spark, d):
+    """Matches of two patterns in all documents by line, the operator that finds entry points."""
+    return entry_points.sites(document_files(spark, d), OPENINGS).groupBy("path", "rule", "line_no", "symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- joins
 
 
@@ -207,7 +213,7 @@ _NAMES = (
     hardcoded_findings, by_category, context_window, line_counts, followed_within, undeclared_words, unused_words, glob_lenses, gated_tools, parameter_drift,
     expanded_scenarios, nearest_signup, carried_turn, whole_set_missing, per_file_table, gate_verdict, review_verdict, audit_summary, serious_only, keep_first,
     two_counts, severity_names, confidences, calibration, clauses_missing, clause_summary, implementation_rank, best_match, first_per_language, domain_evidence,
-    source_breakdown, json_fields,
+    source_breakdown, json_fields, pattern_sites,
 )
 
 
@@ -250,6 +256,9 @@ def oracle_sql() -> dict[str, str]:
         "context_window": f"""WITH {LINES}, t AS (SELECT *, max(regexp_matches(line, '[0-9]')::INT) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines)
             SELECT path, line_no::INT AS line, unnest(['COMMA_END', 'DOT_WORD']) AS code FROM t WHERE near = 0 AND regexp_matches(line, ',$') AND regexp_matches(line, '\\. The ')
             UNION ALL SELECT path, line_no::INT, CASE WHEN regexp_matches(line, ',$') THEN 'COMMA_END' ELSE 'DOT_WORD' END FROM t WHERE near = 0 AND (regexp_matches(line, ',$') <> regexp_matches(line, '\\. The '))""",
+        "pattern_sites": f"""WITH {LINES}, m AS (SELECT path, 0 AS rule, line_no, regexp_extract(line, '^[A-Z][a-z]+ [a-z]+') AS symbol FROM lines WHERE regexp_matches(line, '^[A-Z][a-z]+ [a-z]+')
+            UNION ALL SELECT path, 1, line_no, unnest(regexp_extract_all(line, '([a-z]+)@[a-z]+', 1)) FROM lines)
+            SELECT path::VARCHAR AS path, rule::INT AS rule, line_no::INT AS line_no, symbol, count(*) AS n FROM m GROUP BY ALL""",
         "line_counts": f"WITH {LINES} SELECT path, count(*) AS n_lines, max(length(line))::INT AS longest FROM lines GROUP BY 1",
         "followed_within": "SELECT a.event_id, a.user_id, epoch_us(a.ts) AS at, min(epoch_us(b.ts)) AS next FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) + 1 AND epoch_us(a.ts) + 600000000 GROUP BY 1, 2, 3",
         "undeclared_words": f"WITH {WORDS} SELECT word, min((path, line_no))[1] AS path, min((path, line_no))[2]::INT AS line_no, count(*) AS sites FROM words WHERE word NOT IN (SELECT unnest(regexp_extract_all(text, '{WORD}')) FROM benchmark) GROUP BY 1",
