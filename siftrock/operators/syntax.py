@@ -120,7 +120,7 @@ def facts(text: str | None):
     used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)}
     for s in ast.walk(tree):
         if isinstance(s, ast.Assign) and [_last(t) for t in s.targets] == ["__all__"] and isinstance(s.value, (ast.List, ast.Tuple)):
-            used |= {e.value for e in s.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str)}
+            used |= {e.value for e in s.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str) and e.value.isidentifier()}
     yield from ((None, "use", n, [], [], None) for n in sorted(used))
     yield 1, "module", None, [], [], ast.get_docstring(tree)
     todo = [(tree, False, False)]
