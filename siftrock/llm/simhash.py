@@ -13,12 +13,21 @@ neighbours: two of them lie within four bits if and only if some value lies with
 both, so all that share one of their 2,081 neighbouring values are linked to the smallest of these. Work and
 rows grow with the number of fingerprints, not with the square of a group.
 
+Word shingles ask for more: at a Jaccard similarity of 0.8 two SimHashes differ in 0.15 of their bits, far beyond what
+keys of whole segments can promise. ``similar_classes`` takes a ring of 256 bits from distinct shingles and looks up
+arcs of it, in several orders of the bits, so many that a pair just at the threshold shares an arc with a probability
+of 0.99; what meets within the ring's budget of bits is checked by its shingles. Recall is that of the arcs and the
+budget, precision is exact.
+
 Defined results: a null text is an empty one; without words the fingerprint is zero and is linked like any
 other. Repeated ids and rows keep a row each. A null id is never a component's id unless no member has another.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +39,7 @@ from .shared import written
 
 BITS, DIFFER = 64, 4
 WIDTHS = (13, 13, 13, 13, 12)
+RING, MISSED, FEW = 256, 0.01, 64
 
 
 def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
@@ -136,12 +146,181 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, doc_id: str = "doc_id",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, words: int = 5, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without all but the smallest id of each component; of rows that repeat that id, one.
+def shingles(w: list[bytes], words: int) -> set[bytes]:
+    if not w:
+        return set()
+    return {b" ".join(w)} if len(w) < words else set(map(b" ".join, zip(*(w[i:] for i in range(words)))))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def node(w: list[bytes]) -> int:
+    """What texts of the same words share: a signed 64-bit hash."""
+    return _signed(xxhash.xxh3_64_intdigest(b" ".join(w), 42))
+
+
+def ring(some: set[bytes]) -> np.ndarray:
+    """The SimHash of a set in 256 bits, as four words. It doesn't depend on the set's order."""
+    out, counts, some = xxhash.xxh3_128_digest, np.zeros(RING, np.int64), list(some)
+    for at in range(0, len(some), 255):  # so few that a byte holds each count
+        bits = b"".join(out(s, 1) + out(s, 2) for s in some[at : at + 255])
+        counts += np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, RING // 8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(some), bitorder="little").view("<u8")
+
+
+def rings(docs: DataFrame, *, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, node, f0, f1, f2, f3)."""
+
+    def run(batches):
+        for batch in batches:
+            w = [_words(t) for t in batch.column("text").to_pylist()]
+            f = np.array([ring(shingles(x, words)) for x in w], np.uint64).reshape(-1, 4).view(np.int64)
+            cols = [batch.column("doc_id"), pa.array([node(x) for x in w], pa.int64()), *(pa.array(f[:, i].copy()) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "f0", "f1", "f2", "f3"])
+
+    some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return some.mapInArrow(run, "doc_id long, node long, f0 long, f1 long, f2 long, f3 long")
+
+
+def bit_budget(similar: float, bits: int, spread: float) -> int:
+    """Bits of ``bits`` in which sets of that Jaccard similarity differ: at most the angle's share, and ``spread`` deviations."""
+    p = math.acos(2 * similar / (1 + similar)) / math.pi
+    return math.ceil(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+
+
+def arcs(n: int, similar: float, seed: int = 7) -> np.ndarray:
+    """Masks (rows of four words) of the arcs that ``n`` rings are looked up by: log2(n) bits each, so that few unlike rings
+    meet, and as many as hold the share missed at the threshold to ``MISSED``."""
+    width = max(8, math.ceil(math.log2(max(n, 2))))
+    p = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
+    many, rng, out = math.ceil(math.log(MISSED) / math.log(1 - p**width)), np.random.default_rng(seed), []
+    while len(out) < many:
+        order = rng.permutation(RING)
+        for at in range(0, RING - width + 1, width):
+            bits = np.zeros(RING, np.uint8)
+            bits[order[at : at + width]] = 1
+            out.append(np.packbits(bits, bitorder="little").view("<u8"))
+    return np.array(out[:many])
+
+
+def _meet(limit: int):
+    """Rows (key, node, f0) sorted by key -> (a, b, f0, big): all pairs of a key of at most ``FEW`` nodes, first words at most
+    ``limit`` bits apart. Of a key of more, every node b and its f0 with one of them, a, and the key as ``big``."""
+    names, odd = ["a", "b", "f0", "big"], np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+    def pairs(key, node, f):
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(key))  # rows from here to the key's end
+        left[np.repeat(sizes > FEW, sizes)] = 0
+        for d in range(1, FEW):
+            i = np.flatnonzero(left > d)
+            if not len(i):
+                break
+            i = i[np.bitwise_count((f[i] ^ f[i + d]).view(np.uint64)) <= limit]
+            a, b = node[i], node[i + d]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())], names)
+        for at, n in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
+            some = node[at : at + n]
+            one = some[np.argmin(some.view(np.uint64) * odd[int(key[at]) & 3])]  # not the same one under every key
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, one)), pa.array(some), pa.array(f[at : at + n]), pa.array(key[at : at + n])], names)
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = tuple(batch.column(c).to_numpy() for c in ("key", "node", "f0"))
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if cut or (held and held[0][0][0] != now[0][0]):
+                yield from pairs(*map(np.concatenate, zip(*held, tuple(x[:cut] for x in now))))
+                held = []
+            held.append(tuple(x[cut:] for x in now))
+        if held:
+            yield from pairs(*map(np.concatenate, zip(*held)))
+
+    return run
+
+
+def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar: float, text: str = "text", broadcast_keys: int = 1_000_000) -> DataFrame:
+    """(node, component_id) for every distinct node of ``prints``, the written ``rings`` of ``docs``.
+
+    Links are the pairs that share an arc, lie within the bit budget and have that Jaccard similarity of distinct
+    shingles. Under a key of many nodes all are compared with one first; then, once linked, those outside
+    the key's largest component with all that are not in theirs. This finds the same components as all pairs.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(f"f{i}").alias(f"f{i}") for i in range(4)]), "ring-nodes")
+    masks, quarter, whole = arcs(nodes.count(), similar), bit_budget(similar, 64, 4.5), bit_budget(similar, RING, 3)
+    odd = np.random.default_rng(3).integers(1 << 62, size=(len(masks), 5), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def keyed(batches):
+        for batch in batches:
+            f = np.stack([batch.column(f"f{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
+            for m, o in zip(masks, odd, strict=True):
+                key = ((f & m) * o[:4]).sum(1, dtype=np.uint64) + o[4]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("node"), batch.column("f0")], ["key", "node", "f0"])
+
+    keys = nodes.select("node", "f0", "f1", "f2", "f3").repartition(parts).mapInArrow(keyed, "key long, node long, f0 long")
+    met = keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(quarter), "a long, b long, f0 long, big long")
+    met = written(met, "ring-pairs")
+
+    def texts(batches):
+        for batch in batches:
+            t = batch.column("text")
+            yield pa.RecordBatch.from_arrays([pa.array([node(_words(x)) for x in t.to_pylist()], pa.int64()), t], ["node", "text"])
+
+    def alike(batches):
+        of = lru_cache(64)(lambda t: shingles(_words(t), words))
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                x, y = of(x), of(y)
+                both = len(x & y)
+                keep.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(f"f{i}").alias(f"{c}{i}") for i in range(4)])
+        apart = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(4))
+        near = pairs.where("a != b").distinct().join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {whole}").select("a", "b")
+        near = written(near, "ring-near")
+        needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = F.broadcast(needed) if needed.count() <= broadcast_keys else needed
+        known = docs.select(F.col(text).alias("text")).mapInArrow(texts, "node long, text string").join(needed, "node", "left_semi")
+        known = written(known.groupBy("node").agg(F.any_value("text").alias("text")), "ring-texts")
+        ta, tb = (known.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        return written(near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long"), "ring-links")
+
+    linked = checked(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    roots = connected(linked)
+    if met.where("big IS NOT NULL").limit(1).count():
+        held = met.where("big IS NOT NULL").select("big", F.col("b").alias("node"), "f0").join(roots, "node", "left")
+        held = written(held.withColumn("root", F.coalesce("root", "node")), "ring-held")
+        most = held.groupBy("big", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("big").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+        other = held.join(most, "big").where("root != most").select("big", F.col("node").alias("x"), F.col("f0").alias("fx"), F.col("root").alias("rx"))
+        more = other.join(held, "big").where(f"root != rx AND bit_count(f0 ^ fx) <= {quarter}")
+        more = checked(more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
+        roots = connected(linked.unionAll(more))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(ids, "root").select("node", "component_id")
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, similar: float | None = None, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without all but the smallest id of each component; of rows that repeat that id, one. Links are those of
+    ``similar_classes`` where ``similar`` is given, else fingerprints at most four bits apart.
 
     Rows without an id stay: no member of a group can be told from them.
     """
-    found = written(near_duplicates(docs, words=words, doc_id=doc_id, text=text, **options), "components").where("doc_id IS NOT NULL")
+    if similar is None:
+        found = near_duplicates(docs, words=words, doc_id=doc_id, text=text, **options)
+    else:
+        prints = written(rings(docs, words=words, doc_id=doc_id, text=text), "rings")
+        found = prints.join(similar_classes(docs, prints, words=words, similar=similar, text=text, **options), "node").select("doc_id", "component_id")
+    found = written(found, "components").where("doc_id IS NOT NULL")
     stay = found.groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_n"))
     stay = stay.where("_c = doc_id").select(F.col("doc_id").alias(doc_id), "_n")
     once = docs.join(stay.where("_n = 1").select(doc_id), doc_id, "left_semi")

@@ -83,6 +83,56 @@ def test_keeping_one_of_each(spark):
     assert simhash.keep_one(df.limit(0)).collect() == []
 
 
+def plain_similar(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in (a, b)))
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def plain_groups(texts):
+    """Component by position, linked by all pairs of a Jaccard similarity of 0.8 or more."""
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and plain_similar(texts[i], texts[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(60):  # up to six words of 150 to 250 replaced: near 0.8 and on either side of it
+        base = [rng.choice(VOCABULARY) for _ in range(rng.randint(150, 250))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.randint(1, 6)):
+                w[at] = "x" + rng.choice(VOCABULARY)
+            texts.append(" ".join(w))
+    texts += [None, "", "a b", "A  b", "a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i for i, r in enumerate(plain_groups(texts)) if r == i}
+    got = {r.doc_id for r in simhash.keep_one(docs, words=5, similar=0.8).collect()}
+    assert want <= got and len(got - want) <= 3  # precision is exact; recall on pairs about the threshold
+    assert len(want) < 0.6 * len(texts)
+
+
+@pytest.mark.parametrize("few", [3, 64])
+def test_similar_texts_of_a_large_group(spark, monkeypatch, few):
+    """A chain of copies whose ends are unlike each other, and others that share its arcs: all pairs, though one per key comes first."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = random.Random(3)
+    w = [rng.choice(VOCABULARY) for _ in range(200)]
+    texts = []
+    for i in range(90):
+        texts.append(" ".join(w))
+        w[(i * 7) % 200] = "y" + rng.choice(VOCABULARY)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.keep_one(docs, words=5, similar=0.8).collect()}
+    assert got == {i for i, r in enumerate(plain_groups(texts)) if r == i} == {0}
+
+
 def plain_tiles(item, doc, k):
     """The textbook: of all unmarked common runs take the longest, again and again."""
     in_item, in_doc, out = set(), set(), []
