@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected
 from .shared import written
@@ -131,12 +132,12 @@ def links(nodes: DataFrame, *, long_from: int = 1_000_000, broadcast_keys: int =
 
 
 def classes(prints: DataFrame, **options) -> DataFrame:
-    """(fp, component_id) for every distinct fp of ``prints`` (doc_id, fp), a table that is read more than once."""
+    """(fp, root, component_id) for every distinct fp of ``prints`` (doc_id, fp), a table that is read more than once."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = connected(links(nodes, **options))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -245,7 +246,7 @@ def _meet(limit: int):
 
 
 def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar: float, text: str = "text", broadcast_keys: int = 1_000_000) -> DataFrame:
-    """(node, component_id) for every distinct node of ``prints``, the written ``rings`` of ``docs``.
+    """(node, root, component_id) for every distinct node of ``prints``, the written ``rings`` of ``docs``.
 
     Links are the pairs that share an arc, lie within the bit budget and have that Jaccard similarity of distinct
     shingles. Under a key of many nodes all are compared with one first; then, once linked, those outside
@@ -306,26 +307,40 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
         roots = connected(linked.unionAll(more))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("node", "component_id")
+    return rooted.join(ids, "root").select("node", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similar: float | None = None, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without all but the smallest id of each component; of rows that repeat that id, one. Links are those of
-    ``similar_classes`` where ``similar`` is given, else fingerprints at most four bits apart.
+    """``docs`` without all but one row of each component: that of the smallest id, and of those that repeat this id with other texts
+    that of the smallest fingerprint (or node). Links are those of ``similar_classes`` where ``similar`` is given, else
+    fingerprints at most four bits apart.
 
     Rows without an id stay: no member of a group can be told from them.
     """
     if similar is None:
-        found = near_duplicates(docs, words=words, doc_id=doc_id, text=text, **options)
+        prints = written(fingerprints(docs, words=words, doc_id=doc_id, text=text), "fingerprints")
+        found = prints.join(classes(prints, **options), "fp").select("doc_id", F.col("fp").alias("_key"), "root")
+        key_of = lambda t: _signed(fingerprint(t, words))
     else:
         prints = written(rings(docs, words=words, doc_id=doc_id, text=text), "rings")
-        found = prints.join(similar_classes(docs, prints, words=words, similar=similar, text=text, **options), "node").select("doc_id", "component_id")
-    found = written(found, "components").where("doc_id IS NOT NULL")
-    stay = found.groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_n"))
-    stay = stay.where("_c = doc_id").select(F.col("doc_id").alias(doc_id), "_n")
-    once = docs.join(stay.where("_n = 1").select(doc_id), doc_id, "left_semi")
-    repeated = docs.join(stay.where("_n > 1").select(doc_id), doc_id, "left_semi").dropDuplicates([doc_id])
-    return once.unionByName(repeated).unionByName(docs.where(F.col(doc_id).isNull())).select(*docs.columns)
+        found = prints.join(similar_classes(docs, prints, words=words, similar=similar, text=text, **options), "node").select("doc_id", F.col("node").alias("_key"), "root")
+        key_of = lambda t: node(_words(t))
+    found = found.where("doc_id IS NOT NULL").groupBy("root", "doc_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "_key", "_n")).alias("s"))
+    stay = written(stay.select(F.col("s.doc_id").alias(doc_id), "s._key", "s._n"), "kept")
+
+    def run(batches):
+        for batch in batches:
+            values = pa.array([key_of(t) for t in batch.column(text).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "_key"])
+
+    def keyed(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", LongType())]))
+
+    more = stay.where("_n > 1")
+    once = keyed(docs).join(stay.where("_n = 1"), [doc_id, "_key"], "left_semi")
+    repeated = keyed(docs.join(more, doc_id, "left_semi")).join(more, [doc_id, "_key"], "left_semi").dropDuplicates([doc_id, "_key"])
+    return once.unionByName(repeated).select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

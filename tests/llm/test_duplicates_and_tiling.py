@@ -83,6 +83,16 @@ def test_keeping_one_of_each(spark):
     assert simhash.keep_one(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("similar", [None, 0.8])
+def test_ids_repeated_with_other_texts_keep_a_row_of_each_component(spark, similar):
+    a, b, c = prose(80), prose(80), prose(80)
+    rows = [(1, a), (5, a), (5, b), (5, b), (8, c), (8, a), (9, c)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id int, text string"), similar=similar).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, a), (5, b), (8, c)])
+    got = simhash.keep_one(spark.createDataFrame([(5, a), (5, b)], "doc_id int, text string"), similar=similar).collect()
+    assert sorted(map(tuple, got)) == sorted([(5, a), (5, b)])
+
+
 def plain_similar(a, b):
     a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in (a, b)))
     return len(a & b) >= 0.8 * len(a | b)
