@@ -8,7 +8,8 @@ posterior bad rate exceeds the threshold.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule
 and gets the reputation of the empty host. Null or other than 0/1 outcomes are ignored.
-Repeated rows are judged and counted each. Without any labelled page every host is allowed.
+Repeated rows are judged and counted each. Without any labelled page every host is allowed: the
+overall rate is then 0.5, and its bound is below that.
 Extra columns stay; outputs replace columns of the same name.
 """
 
@@ -19,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host/path): fixed values of the contract.
@@ -82,8 +85,9 @@ def _strength(units: DataFrame, parent: str, low: float, high: float) -> DataFra
     return units.agg(F.least(F.lit(high), F.greatest(F.lit(low), k)).alias("k"))
 
 
-def host_reputation(outcomes: DataFrame, *, z: float = 1.645, min_strength: float = 2.0, max_strength: float = 200.0) -> DataFrame:
-    """Per host: n, bad, posterior mean and its lower bound.
+def host_reputation(outcomes: DataFrame, *, judged: DataFrame | None = None, z: float = 1.645, min_strength: float = 2.0, max_strength: float = 200.0) -> DataFrame:
+    """Per host: n, bad, posterior mean and its lower bound. Hosts of ``judged`` (host) without outcomes have n = bad = 0 and
+    the posterior of their domain, else of their suffix, else of all pages as their prior.
 
     outcomes: host string, outcome int (1 = bad). Hosts grow with the data and are aggregated with
     map-side partial sums; each level is an equi-join of aggregates, none is collected.
@@ -91,7 +95,7 @@ def host_reputation(outcomes: DataFrame, *, z: float = 1.645, min_strength: floa
     labelled = outcomes.where(F.col("outcome").isin(0, 1) & F.col("host").isNotNull())
     hosts = labelled.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outcome").cast("long")).alias("bad"))
     suffix, domain = domain_parts(F.col("host"))
-    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
+    hosts = written(hosts.withColumns({"suffix": suffix, "domain": domain}), "hosts")  # every level and strength reads it again
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("p"))
@@ -101,9 +105,19 @@ def host_reputation(outcomes: DataFrame, *, z: float = 1.645, min_strength: floa
         held = units.withColumn("k", k)
         return held.withColumn(out, (F.col("bad") + F.col("k") * F.col(parent)) / (F.col("n") + F.col("k")))
 
-    suffixes = level(suffixes.withColumn("p0", F.coalesce(total.scalar(), F.lit(0.5))), "p0", "p1")
+    overall = F.coalesce(total.scalar(), F.lit(0.5))
+    suffixes = level(suffixes.withColumn("p0", overall), "p0", "p1")
     domains = level(domains.join(suffixes.select("suffix", "p1"), "suffix"), "p1", "p2")
-    hosts = level(hosts.join(domains.select("suffix", "domain", "p2"), ["suffix", "domain"]), "p2", "mean")
+    labelled_hosts = hosts.join(domains.select("suffix", "domain", "p2"), ["suffix", "domain"])
+    hosts = level(labelled_hosts, "p2", "mean").select("host", "n", "bad", "k", "mean")
+    if judged is not None:
+        others = judged.where(F.col("host").isNotNull()).select("host").distinct().join(hosts.select("host"), "host", "left_anti")
+        others = others.withColumns({"suffix": suffix, "domain": domain})
+        others = others.join(domains.select("suffix", "domain", "p2"), ["suffix", "domain"], "left").join(suffixes.select("suffix", "p1"), "suffix", "left")
+        prior = F.coalesce("p2", "p1", overall)  # the posterior of no outcomes is the prior
+        k = _strength(labelled_hosts, "p2", min_strength, max_strength).scalar()
+        none = F.lit(0).cast("long")
+        hosts = hosts.unionByName(others.select("host", none.alias("n"), none.alias("bad"), k.alias("k"), prior.alias("mean")))
     strength = F.col("n") + F.col("k")
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (strength + 1))
     return hosts.select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("lower"))
@@ -111,11 +125,11 @@ def host_reputation(outcomes: DataFrame, *, z: float = 1.645, min_strength: floa
 
 def judge(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict: the longest rule's, else block where the host's posterior
-    lower bound exceeds ``threshold``. Hosts without labelled pages are allowed: their bound can't exceed it."""
+    lower bound exceeds ``threshold``. Hosts without labelled pages are judged by their domain, else suffix, else all pages."""
     judged = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     rule, by_rule = rule_columns(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "_by_rule": by_rule})
-    bad = host_reputation(outcomes).where(F.col("lower") > threshold).select(F.col("host"), F.lit("block").alias("_by_host"))
+    bad = host_reputation(outcomes, judged=judged).where(F.col("lower") > threshold).select(F.col("host"), F.lit("block").alias("_by_host"))
     judged = judged.join(bad, "host", "left")
     verdict = F.coalesce(F.col("_by_rule"), F.col("_by_host"), F.lit("allow"))
     return judged.withColumn("verdict", verdict).drop("_by_rule", "_by_host")

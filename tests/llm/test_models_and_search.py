@@ -187,6 +187,14 @@ def test_reputation_shrinks_and_blocks(spark):
     assert got["bad.x.org"].lower > 0.5 > got["good.x.org"]["mean"] and got["one.y.org"].lower < 0.5 and "z.org" not in got
 
 
+def test_reputation_of_hosts_without_labels(spark):
+    rows = [(f"{h}.bad.org", 1) for h in "abc" for _ in range(60)] + [(f"{h}.good.org", 0) for h in "abc" for _ in range(60)]
+    outcomes = spark.createDataFrame(rows, "host string, outcome int")
+    urls = [(0, "http://new.bad.org/"), (1, "http://new.good.org/"), (2, "http://other.org/"), (3, "http://u.info/"), (4, "http://a.bad.org/")]
+    got = url_reputation.judge(spark.createDataFrame(urls, "page_id long, url string"), outcomes).collect()
+    assert {r.page_id: r.verdict for r in got} == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "block"}
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_against_sql(spark, name):
     import duckdb
