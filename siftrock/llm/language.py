@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out
+from .shared import held_out, sliced
 
 BUCKETS, LONGEST = 1 << 14, 4
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
@@ -30,7 +30,7 @@ RESULT = "doc_id long, held_out boolean, lang_pred string, score double, accepte
 def _letters() -> np.ndarray:
     """The lower-case code point of every letter, 0 for all else."""
     table = np.zeros(0x110000, np.uint32)
-    for c in range(0x32000):
+    for c in range(len(table)):
         ch = chr(c)
         if ch.isalpha():
             table[c] = ord(ch.lower()[0])
@@ -146,7 +146,7 @@ def train(docs: DataFrame, *, train_rows: int = 2400, doc_id: str = "doc_id", te
     some = docs.where(F.col(lang).isNotNull()).join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "left_semi")
 
     def features(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = [np.unique(subwords(t), return_counts=True) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([o[0].tolist() for o in out], pa.list_(pa.int32())), pa.array([o[1].tolist() for o in out], pa.list_(pa.int32()))],
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, a number for each language
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
             cols = list(zip(*got, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(

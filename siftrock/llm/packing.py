@@ -1,16 +1,16 @@
 """Packing into fixed-length sequences as a cutting-stock problem, solved by column generation.
 
-A document's ids are cut at every multiple of the sequence length; the full pieces are sequences of their own.
-The remainder is cut once more, at its last multiple of ``grain``, so that the lengths to place are few
-(``size / grain + grain``, whatever the number of documents) and the program below is solved to its bound.
-A linear program over patterns (multisets of lengths that fit a sequence) minimises sequences;
-columns are priced by an unbounded-knapsack dynamic program on the duals. Its solution is rounded
-down, the few lengths left over are packed best-fit, and the patterns' slots go to the documents of
-each length by rank. Ranks come from counts by (writing task, length) and their prefix sums, so
-a hot length is never gathered or sorted in one place.
+A document's ids are cut at every multiple of the sequence length and nowhere else; the full pieces are sequences of their
+own. What is left of each document, one piece of 1 to ``size - 1`` ids, stays whole. A linear program over patterns
+(multisets of lengths that fit a sequence) minimises sequences; columns are priced by an unbounded-knapsack
+dynamic program on the duals. Its solution is rounded down, the few pieces left over are packed best-fit, and the
+patterns' slots go to the documents of each length by rank. Ranks come from counts by (writing task, length) and their prefix
+sums, so a hot length is never gathered or sorted in one place. The program has at most ``size - 1`` lengths, whatever the
+number of documents.
 
 Defined results: a null text is an empty one, so that its document is the end id alone. Repeated rows
-and null ids are packed as documents of their own. An empty table gives no rows.
+and null ids are packed as documents of their own. An empty table gives no rows. ``place`` keeps the columns of its pieces but
+replaces ``sequence_id`` and ``offset``, which it makes.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import written
+from .shared import free_name, sliced, written
 from .tokens import encoder
 
-SIZE, GRAIN = 1024, 8
+SIZE = 1024
 
 
 # ---- the plan: from a histogram of piece lengths, at most size - 1 of them, on the driver
@@ -57,25 +58,80 @@ def _pattern(took: np.ndarray, room: int) -> Counter:
     return out
 
 
-def column_generation(demand: dict[int, int], size: int = SIZE, *, gap: float = 5e-4, max_pivots: int = 6000) -> list[tuple[Counter, float]]:
-    """Patterns and their (fractional) uses covering ``demand`` exactly, within ``gap`` of the bound or the best after ``max_pivots``.
-
-    Revised simplex with an explicit inverse; the start is a pattern per length, repeated as often as it fits.
-    Each pricing gives the best pattern holding each length, and pivots go on among those before the next.
+def _start(demand: dict[int, int], size: int) -> tuple[list[Counter], np.ndarray, np.ndarray]:
+    """A pattern per length and its uses, covering ``demand`` exactly: the longest length left is filled up with the best sum of others
+    left, and that is repeated until a length runs out, whose pattern it then is. In the order in which lengths run out the patterns are
+    triangular, so they are a basis of the program; its inverse is the third result (patterns by lengths)."""
+    left = {n: float(v) for n, v in demand.items()}
+    basis: dict[int, Counter] = {}
+    uses: dict[int, float] = {}
+    while left:
+        lengths = np.array(sorted(left), np.int64)
+        longest = int(lengths[-1])
+        room = size - longest
+        few = lengths[lengths <= room]
+        p = Counter({longest: 1})
+        if len(few):
+            # subset sum within what is left of each length: reachable sums, each with the length that reached it first
+            reached, by = np.zeros(room + 1, bool), np.zeros(room + 1, np.int64)
+            reached[0] = True
+            for n in few[::-1].tolist():
+                most = min(room // n, int(left[n]) - (n == longest))
+                for _ in range(max(0, most)):
+                    new = np.flatnonzero(reached[: room + 1 - n] & ~reached[n:]) + n
+                    if not len(new):
+                        break
+                    reached[new], by[new] = True, n
+                if reached[room]:
+                    break
+            at = int(np.flatnonzero(reached)[-1])
+            while at:
+                p[int(by[at])] += 1
+                at -= int(by[at])
+        times = {n: left[n] / k for n, k in p.items()}
+        gone = min(times, key=lambda n: (times[n], n))
+        basis[gone], uses[gone] = p, times[gone]
+        for n, k in p.items():
+            left[n] = max(0.0, left[n] - k * times[gone])
+        del left[gone]
+    order, lengths = list(basis), sorted(demand)
+    at = {n: i for i, n in enumerate(lengths)}
+    holders: dict[int, list[int]] = {n: [] for n in order}
+    inverse = np.zeros((len(order), len(order)))
+    for j, n in enumerate(order):  # forward substitution over the few patterns that hold each length
+        row = inverse[at[n]]
+        row[at[n]] = 1.0
+        for i in holders[n]:
+            row -= basis[order[i]][n] * inverse[at[order[i]]]
+        row /= basis[n][n]
+        for other in basis[n]:
+            if other != n:
+                holders[other].append(j)
+    return [basis[n] for n in lengths], np.array([uses[n] for n in lengths]), inverse
+
+
+def column_generation(demand: dict[int, int], size: int = SIZE, *, gap: float = 5e-4, work: float = 5e8) -> tuple[list[tuple[Counter, float]], float]:
+    """Patterns with their (fractional) uses covering ``demand`` exactly, and a lower bound on the uses of any cover.
+
+    Revised simplex with an explicit inverse. Columns are priced by a knapsack over the duals, smoothed towards the best duals so far
+    (those of the highest bound, at first each length's share of a sequence); each pricing gives the best pattern holding
+    each length, and pivots go on among those before the next. Ends within ``gap`` of the bound or one sequence of it, or after
+    ``work`` changed numbers of the inverse (some seconds), when the bound returned tells how far it is.
     """
     lengths = np.array(sorted(demand), np.int64)
     d = np.array([demand[int(n)] for n in lengths], float)
     at = {int(n): i for i, n in enumerate(lengths)}
     m = len(lengths)
-    fits = size // lengths
-    basis = [Counter({int(n): int(k)}) for n, k in zip(lengths, fits, strict=True)]
-    inverse, x = np.diag(1.0 / fits), d / fits
-    pivots = 0
-    while pivots < max_pivots:
-        value = np.maximum(inverse.sum(0), 0)
+    basis, x, inverse = _start(demand, size)
+    times = lambda matrix, v: np.einsum("ij,j->i", matrix, v)  # noqa: E731 (one thread: a driver has others for its cores)
+    stable, bound, pivots, smooth = lengths / size, float(lengths @ d) / size, 0, 0.7
+    max_pivots = int(work / m**2) + 1
+    while pivots < max_pivots and x.sum() - bound > max(1.0, gap * x.sum()):
+        y = inverse.sum(0)
+        value = np.maximum(smooth * stable + (1 - smooth) * y, 0)
         best, took = _knapsack(value, lengths, size)
-        if best[size] <= 1 + 1e-9 or x.sum() - (value @ d) / best[size] <= gap * x.sum():
-            break
+        if value @ d / best[size] > bound:
+            bound, stable = value @ d / best[size], value / best[size]
         pool = {}
         for n in lengths.tolist():
             p = _pattern(took, size - n)
@@ -86,13 +142,13 @@ def column_generation(demand: dict[int, int], size: int = SIZE, *, gap: float =
         for row, p in enumerate(pool):
             for n, k in p.items():
                 columns[row, at[n]] = k
-        y, cost = inverse.sum(0), np.full(len(pool), 1.0)
+        before = pivots
         for _ in range(m):
-            gain = columns @ y - cost
+            gain = times(columns, y) - 1
             j = int(np.argmax(gain))
             if gain[j] <= 1e-7 or pivots >= max_pivots:
                 break
-            w = inverse @ columns[j]
+            w = times(inverse, columns[j])
             ratio = np.where(w > 1e-9, x / np.where(w > 1e-9, w, 1), np.inf)
             out = int(np.argmin(ratio))
             step = ratio[out]
@@ -106,7 +162,13 @@ def column_generation(demand: dict[int, int], size: int = SIZE, *, gap: float =
             inverse[out] = row
             basis[out] = pool[j]
             pivots += 1
-    return list(zip(basis, x.tolist(), strict=True))
+        if pivots == before:  # no column of these prices helps: the duals themselves price next, or all is done
+            if smooth == 0:
+                break
+            smooth = smooth / 2 if smooth > 0.1 else 0
+        else:
+            smooth = 0.7
+    return list(zip(basis, x.tolist(), strict=True)), bound
 
 
 def plan(demand: dict[int, int], size: int = SIZE, **limits) -> list[tuple[Counter, int]]:
@@ -114,7 +176,7 @@ def plan(demand: dict[int, int], size: int = SIZE, **limits) -> list[tuple[Count
     if not demand:
         return []
     left, out = Counter(demand), []
-    for p, uses in column_generation(demand, size, **limits):
+    for p, uses in column_generation(demand, size, **limits)[0]:
         n = int(uses + 1e-9)
         n = min([n, *(left[length] // k for length, k in p.items())])
         if n > 0:
@@ -152,7 +214,7 @@ def slots(patterns: list[tuple[Counter, int]]) -> dict[int, tuple[np.ndarray, ..
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, nth long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, *, spaces: str = "whole", end_id: int, size: int = SIZE, grain: int = GRAIN, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, *, spaces: str = "whole", end_id: int, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """The pieces of every document, with the task that cut them and their number there among pieces of their length."""
     schema = PIECES + (", ids binary" if with_ids else "")
 
@@ -162,25 +224,19 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, spaces: str = "whole", end_id
         enc = encoder(tokenizer, spaces)
         task, met = TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                rows: list[list] = [[] for _ in range(8)]
-                for key, data in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
-                    ids = np.concatenate([np.frombuffer(data, enc.dtype).astype("<u4"), end])
-                    cuts = [*range(0, len(ids), size), len(ids)]
-                    border = len(ids) - (len(ids) - cuts[-2]) % grain
-                    if cuts[-2] < border < len(ids):
-                        cuts.insert(-1, border)
-                    for start, stop in zip(cuts, cuts[1:], strict=False):
-                        piece = ids[start:stop]
-                        n = len(piece)
-                        for col, v in zip(rows, (key, start, n, zlib.crc32(piece), len(ids), task, met[n], piece.tobytes() if with_ids else None), strict=True):
-                            col.append(v)
-                        met[n] += 1
-                kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()] + [pa.binary()] * with_ids
-                names = [c.split()[0] for c in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names)
+        for some in sliced(batches):
+            rows: list[list] = [[] for _ in range(8)]
+            for key, data in zip(some.column("doc_id").to_pylist(), enc.encode(some.column("text").to_pylist()), strict=True):
+                ids = np.concatenate([np.frombuffer(data, enc.dtype).astype("<u4"), end])
+                for start in range(0, len(ids), size):
+                    piece = ids[start : start + size]
+                    n = len(piece)
+                    for col, v in zip(rows, (key, start, n, zlib.crc32(piece), len(ids), task, met[n], piece.tobytes() if with_ids else None), strict=True):
+                        col.append(v)
+                    met[n] += 1
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()] + [pa.binary()] * with_ids
+            names = [c.split()[0] for c in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names)
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return texts.mapInArrow(cut, schema)
@@ -188,32 +244,34 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, spaces: str = "whole", end_id
 
 def place(pieces: DataFrame, *, size: int = SIZE, **limits) -> DataFrame:
     """``pieces`` (length, task, nth and any others; read more than once, so a written table) with sequence_id and offset."""
-    counts = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    based = written(counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))), "pack-counts")
-    histogram = {r.length: r.n for r in based.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``size`` rows
+    pieces = pieces.drop("sequence_id", "offset")
+    columns = pieces.columns
+    base, rank = free_name(pieces, "base"), free_name(pieces, "rank")
+    counts = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    based = written(counts.withColumn(base, F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-counts")
+    histogram = {r.length: r.n for r in based.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     full = histogram.pop(size, 0)
     runs = slots(plan(histogram, size, **limits)) | {size: tuple(np.array([v], np.int64) for v in (0, -full, 1, 0))}
-    columns = pieces.columns
-    ranked = pieces.join(based.select("task", "length", "_base"), ["task", "length"]).select(*columns, (F.col("nth") + F.col("_base")).alias("_rank"))
+    ranked = pieces.join(based.select("task", "length", base), ["task", "length"]).select(*columns, (F.col("nth") + F.col(base)).alias(rank))
 
     def assign(batches):
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False)
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            order = batch.column(rank).to_numpy(zero_copy_only=False)
+            sequence, offset = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
             for n in np.unique(length).tolist():
-                first, base, each, start = runs[n]
+                first, begin, each, start = runs[n]
                 mine = np.flatnonzero(length == n)
-                k = np.searchsorted(first, rank[mine], side="right") - 1
-                j = rank[mine] - first[k]
-                sequence[mine] = full + base[k] + j // each[k]
+                k = np.searchsorted(first, order[mine], side="right") - 1
+                j = order[mine] - first[k]
+                sequence[mine] = full + begin[k] + j // each[k]
                 offset[mine] = start[k] + (j % each[k]) * n
-            out = batch.drop_columns(["_rank"])
+            out = batch.drop_columns([rank])
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(assign, f"{kinds}, sequence_id long, offset long")
+    kinds = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return ranked.mapInArrow(assign, kinds)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, spaces: str = "whole", end_id: int, size: int = SIZE, with_ids: bool = False, **columns) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_cut, held_out
+from .shared import hash_cut, held_out, sliced
 
 PASSAGE, THRESHOLD = 64, 0.7
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 3000, doc_id:
     some = docs.join(chosen, F.col(doc_id) == F.col("_id")).select("_id", "_y", F.col(text).alias("text"))
 
     def encode(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             bags = [passages(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.int64()), batch.column("_y"), pa.array(bags, pa.binary())], ["_id", "_y", "bag"])
 
@@ -203,14 +203,12 @@ def score(docs: DataFrame, model: AttentionModel, *, threshold: float = THRESHOL
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                s = shared.value.score(some.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), some.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
-                    ["doc_id", "held_out", "score", "predicted"],
-                )
+        for some in sliced(batches):
+            s = shared.value.score(some.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [some.column("doc_id"), some.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"],
+            )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(doc_id).alias("held_out"))
     return rows.mapInArrow(run, RESULT)
@@ -223,10 +221,8 @@ def keep(docs: DataFrame, model: AttentionModel, *, threshold: float = THRESHOLD
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                yield some.filter(pa.array(shared.value.score(some.column(text).to_pylist()) >= threshold))
+        for some in sliced(batches):
+            yield some.filter(pa.array(shared.value.score(some.column(text).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,26 +1,29 @@
-"""What several operators need: the shared folder, written intermediate tables, files in that folder."""
+"""What several operators need: the shared folder, written intermediate tables, files in that folder, slices of Arrow batches."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local session, which is a single process
+    (tests), gets a temporary one; on a cluster it is an error, as a folder of the driver's own would be another one on every executor."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="siftrock-")
-        spark.sparkContext.setCheckpointDir(_own[key])
-    return _own[key]
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="siftrock-")
+        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -64,3 +67,26 @@ def hash_cut(rows: int, total: int) -> int | None:
     """
     share = (2 * rows + 200) / max(1, total)
     return None if share >= 1 else int(-(2**63) + 2**64 * share)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of at most ``rows``, so that only a slice's texts are Python objects at a time. When the task ends, what its
+    worker no longer uses goes back to the system: workers outlive tasks, and several share an executor's memory."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+            del batch
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns of ``df`` (their case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

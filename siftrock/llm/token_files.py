@@ -8,7 +8,7 @@ it, is the prefix sum of the counts before it. Names are unique to a task's atte
 that the manifest names count, so retries and lost executors leave nothing behind that is read.
 
 Defined results: a null text is an empty one and gives the end id alone. Null ids come first. Repeated ids
-stay separate documents, in the order of their texts. An empty table writes no file.
+stay separate documents, in the order of a hash of their texts. An empty table writes no file.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import file_system, fresh_path, open_input, written
+from .shared import file_system, fresh_path, open_input, sliced, written
 from .tokens import encoder
 
 MANIFEST = "part int, path string, width int, n_docs long, n_tokens long"
@@ -33,7 +33,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, spaces: str =
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]  # the hash, so that an id that many rows repeat, or none, is no single range
+    ordered = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
 
     def write(batches):
         from pyspark import TaskContext
@@ -46,13 +47,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, spaces: str =
         store.create_dir(place.rpartition("/")[0], recursive=True)
         lengths, ids = [], []
         with store.open_output_stream(place + ".bin") as out:
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    some = batch.slice(at, ROWS)
-                    data = enc.encode(some.column("text").to_pylist())
-                    lengths += [len(d) // enc.dtype.itemsize + 1 for d in data]
-                    ids.append(some.column("doc_id"))
-                    out.write(b"".join(x for d in data for x in (d, end)))
+            for some in sliced(batches):
+                data = enc.encode(some.column("text").to_pylist())
+                lengths += [len(d) // enc.dtype.itemsize + 1 for d in data]
+                ids.append(some.column("doc_id"))
+                out.write(b"".join(x for d in data for x in (d, end)))
         if not lengths:
             store.delete_file(place + ".bin")
             return

@@ -1,6 +1,7 @@
 """Token files, archives and packing: round trips and invariants, against the tokenizers library used plainly."""
 
 import base64
+import functools
 import hashlib
 import random
 import zlib
@@ -13,16 +14,19 @@ from siftrock.llm import packing, token_files, warc
 from siftrock.llm.shared import fresh_path
 
 random.seed(9)
-PIECES = ["the", "Hello,", "world!", "don't", "x1y2", "naïve", "Straße", "日本語", "\n", "\n\n", "  ", "\t", "...", "A-b", "<|endoftext|>", "<|startoftext|>", "’s", "İ", "3.14", "ﬁ", "\r\n", " ", "é"]
+PIECES = ["the", "Hello,", "world!", "don't", "x1y2", "naïve", "Straße", "日本語", "\n", "\n\n", "  ", "\t", "...", "A-b", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "’s", "İ", "3.14", "ﬁ", "\r\n", " ", "é"]
 TEXTS = [None, "", " ", "\n", "a", " a", "a ", "line\nline\n"] + ["".join(random.choice(PIECES) + random.choice(["", " ", " ", "\n"]) for _ in range(random.randint(1, 60))) for _ in range(60)] + ["word " * 5000]
 
 
-def plain_ids(name, text):
+@functools.cache
+def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def plain_ids(name, text):
+    return tokenizer(name).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -86,12 +90,48 @@ def planned(demand):
     return sum(n for _, n in patterns)
 
 
-def test_column_generation_reaches_the_bound():
-    """Over the lengths that cut_pieces makes: multiples of the grain, and what is left below it."""
-    lengths = np.random.default_rng(2).integers(1, 1024, 4000)
-    lengths = np.concatenate([lengths - lengths % packing.GRAIN, lengths % packing.GRAIN])
-    demand = {int(k): int(v) for k, v in zip(*np.unique(lengths[lengths > 0], return_counts=True))}
-    assert planned(demand) <= 1.02 * sum(k * v for k, v in demand.items()) / packing.SIZE + 2
+def test_specials_in_texts_are_those_of_a_plain_call(spark):
+    text = "a <|endoftext|> b<|startoftext|>c <|EndOfText|>"
+    for name, spaces in (("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "leading")):
+        from siftrock.llm.tokens import PieceEncoder
+
+        e = PieceEncoder(public_tokenizers.path(name), spaces)
+        assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == plain_ids(name, text)
+
+
+@pytest.mark.parametrize("keep_bytes", [0, 2_000, 10**8])
+def test_what_a_worker_keeps_is_bounded_and_changes_no_ids(keep_bytes):
+    from siftrock.llm.tokens import ENTRY_BYTES, PieceEncoder
+
+    for name, spaces in (("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "leading")):
+        e = PieceEncoder(public_tokenizers.path(name), spaces, keep_bytes)
+        for _ in range(2):
+            for t in TEXTS:
+                assert np.frombuffer(e.encode([t or ""])[0], e.dtype).tolist() == plain_ids(name, t), repr(t)[:80]
+        assert e.known.held <= keep_bytes + ENTRY_BYTES
+
+
+LENGTHS = {
+    "all": lambda r: r.integers(1, 1024, 200_000),
+    "few of each": lambda r: np.repeat(np.arange(1, 1001), 4),
+    "long": lambda r: r.integers(400, 1024, 50_000),
+    "middle": lambda r: r.integers(250, 520, 50_000),
+    "one document each": lambda r: r.integers(1, 1024, 2_000),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(LENGTHS))
+def test_column_generation_reaches_the_bound(kind):
+    lengths = LENGTHS[kind](np.random.default_rng(2))
+    demand = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True))}
+    patterns, bound = packing.column_generation(demand)
+    assert bound >= sum(k * v for k, v in demand.items()) / packing.SIZE - 1e-6
+    covered = {}
+    for p, uses in patterns:
+        for k, c in p.items():
+            covered[k] = covered.get(k, 0) + c * uses
+    assert all(abs(covered[k] - v) < 1e-3 * max(1, v) for k, v in demand.items())
+    assert planned(demand) <= 1.02 * bound + 1
 
 
 def test_a_plan_of_any_lengths_is_whole():
