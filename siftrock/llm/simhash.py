@@ -1,23 +1,22 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-A 64-bit fingerprint is a ring of five segments. If two fingerprints differ in at most four bits, then from some
-segment on the differences of every chain of consecutive segments stay within the chain's share
-of the budget: 0, 1, 2, 3 bits for chains of 1, 2, 3, 4 segments. The keys are chains of two: the
-first segment as it is, the second with one of its bits masked out (64 keys a fingerprint, each holding 24 or
-25 bits). Beyond ``long_from`` distinct fingerprints, where so short keys would fill up, they are chains of three
-(two masked bits, 36 or 37 bits held). The longer chains prune what meets under a key; then all bits are counted.
-
-Only distinct fingerprints are compared, and no pairs are made within a group. A key that two of them share
-gives its pair from an aggregate (least, greatest, count). Fingerprints under any fuller key are linked exactly by
-neighbours: two of them lie within four bits if and only if some value lies within two bits of
-both, so all that share one of their 2,081 neighbouring values are linked to the smallest of these. Work and
+A 64-bit fingerprint is a ring of seven segments. If two fingerprints differ in at most four bits, at least three segments are
+equal, and from some segment on the differences of every chain of consecutive segments stay within the chain's share of
+the budget: 0, 1, 1, 2, 2, 3, 4 bits for chains of 1 to 7 segments. The keys are the 35 choices of three segments (27 bits or
+28). What meets under a key must pass the chains; only then all bits are counted.
+
+Only distinct fingerprints are compared. Keys are counted first and those that only one fingerprint has are dropped. Under a key of
+at most ``few`` fingerprints each pair is tried. A fuller key is divided by the 35 choices of three in seven segments of the bits that it leaves
+open, which finds all pairs within four bits again, now among keys of 42 bits and more. What is still fuller is so dense that its links
+are found by neighbours: two fingerprints lie within four bits if and only if some value lies within two bits of both, so all that
+share one of their 2,081 neighbouring values are linked to the smallest of these. The plan is the same at every size; work and
 rows grow with the number of fingerprints, not with the square of a group.
 
 Word shingles ask for more: at a Jaccard similarity of 0.8 two SimHashes differ in 0.15 of their bits, far beyond what
 keys of whole segments can promise. ``similar_classes`` takes a ring of 256 bits from distinct shingles and looks up
 arcs of it, in several orders of the bits, so many that a pair just at the threshold shares an arc with a probability
-of 0.99; what meets within the ring's budget of bits is checked by its shingles. Recall is that of the arcs and the
-budget, precision is exact.
+of 0.99; what meets within the ring's budget of bits is checked by the 64-bit hashes of its shingles. Recall is that of the arcs and the
+budget.
 
 Defined results: a null text is an empty one; without words the fingerprint is zero and is linked like any
 other. Repeated ids and rows keep a row each. A null id is never a component's id unless no member has another.
@@ -27,6 +26,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected
-from .shared import written
+from .shared import free_name, sliced, written
 
-BITS, DIFFER = 64, 4
-WIDTHS = (13, 13, 13, 13, 12)
+BITS, DIFFER, SEGMENTS = 64, 4, 7
 RING, MISSED, FEW = 256, 0.01, 64
 
 
@@ -61,7 +60,7 @@ def fingerprints(docs: DataFrame, *, words: int = 4, doc_id: str = "doc_id", tex
     """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             values = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
@@ -72,63 +71,63 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _ring(chain: int) -> tuple[list[int], list[int], list[list[int]]]:
-    """(join-key masks; each mask's starting segment; chain masks by length, then start).
+def segments(bits: list[int]) -> list[int]:
+    """Masks of ``SEGMENTS`` runs of these bits, as even as can be."""
+    cuts = [len(bits) * i // SEGMENTS for i in range(SEGMENTS + 1)]
+    return [sum(1 << b for b in bits[low:high]) for low, high in zip(cuts, cuts[1:])]
 
-    A key holds its first segment whole. Of the others in the chain it leaves out ``chain - 1`` bits, so placed
-    that any differences within the chains' budgets are left out by some key.
-    """
-    segments, at = [], 0
-    for w in WIDTHS:
-        segments.append(((1 << w) - 1) << at)
-        at += w
-    m = len(segments)
-    bits = lambda mask: [1 << b for b in range(BITS) if mask >> b & 1]
-    masks, starts = [], []
-    for i in range(m):
-        second, third = segments[(i + 1) % m], segments[(i + 2) % m]
-        if chain == 2:
-            some = [segments[i] | second & ~b for b in bits(second)]
-        else:
-            held = segments[i] | second | third
-            some = [held & ~b & ~c for b in bits(second) for c in bits(third)]
-            some += [held & ~b & ~c for b in bits(third) for c in bits(third) if b < c]
-        masks += some
-        starts += [i] * len(some)
-    chains = [[sum(segments[(i + j) % m] for j in range(n)) for i in range(m)] for n in range(1, m + 1)]
-    return masks, starts, chains
+
+def key_masks(bits: list[int]) -> list[int]:
+    """Masks of every choice of ``SEGMENTS - DIFFER`` segments: whatever four bits differ, one of these has none of them."""
+    return [sum(some) for some in combinations(segments(bits), SEGMENTS - DIFFER)]
+
+
+def ring_test(a: str = "a", b: str = "b") -> str:
+    """SQL: from some segment on all chains are within their shares of the budget, and then all bits are."""
+    ring = segments(list(range(BITS)))
+    chain = lambda i, n: sum(ring[(i + j) % SEGMENTS] for j in range(n))
+    starts = [" AND ".join(f"bit_count(({a} ^ {b}) & {_long(chain(i, n))}) <= {n * DIFFER // SEGMENTS}" for n in range(1, SEGMENTS)) for i in range(SEGMENTS)]
+    return f"({' OR '.join(f'({s})' for s in starts)}) AND bit_count({a} ^ {b}) <= {DIFFER}"
+
+
+def _long(value: int) -> str:
+    v = _signed(value)
+    return "(-9223372036854775807L - 1L)" if v == -(1 << 63) else f"{v}L"
 
 
 def _longs(values: list[int]) -> str:
-    return "array(" + ", ".join("-9223372036854775807L - 1L" if _signed(v) == -(1 << 63) else f"{_signed(v)}L" for v in values) + ")"
+    return f"array({', '.join(map(_long, values))})"
 
 
-def links(nodes: DataFrame, *, long_from: int = 1_000_000, broadcast_keys: int = 1_000_000) -> DataFrame:
-    """(a, b): pairs of the distinct values ``fp`` of ``nodes``, a written table, at most four bits apart, that connect all such pairs.
+def _met(keys: DataFrame, few: int, broadcast_keys: int) -> tuple[DataFrame, DataFrame]:
+    """(k, v, fp) under keys that 2 to ``few`` fingerprints have, and under fuller ones. Keys that several have, counted first, are broadcast
+    if at most ``broadcast_keys`` of them (some 24 bytes each); beyond that the join shuffles."""
+    counts = written(keys.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
+    shared = F.broadcast(counts) if counts.count() <= broadcast_keys else counts
+    held = written(keys.join(shared, ["k", "v"]), "simhash-met")
+    return held.where(f"n <= {few}").drop("n"), held.where(f"n > {few}").drop("n")
 
-    The fuller keys, counted first, are broadcast if at most ``broadcast_keys`` of them (some 12 bytes each); beyond
-    that the join shuffles.
-    """
-    masks, starts, chains = _ring(2 if nodes.count() < long_from else 3)
-    m = len(WIDTHS)
+
+def links(nodes: DataFrame, *, few: int = 32, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """(a, b): pairs of the distinct values ``fp`` of ``nodes``, a written table, at most four bits apart, that connect all such pairs."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = nodes.repartition(parts)  # a few bytes a row here, dozens of keys a row below
+    nodes = nodes.select("fp").repartition(parts)  # a few bytes a row here, dozens of keys a row below
+    masks = key_masks(list(range(BITS)))
     keys = nodes.select("fp", F.expr(f"posexplode(transform({_longs(masks)}, m -> fp & m)) AS (k, v)"))
-    met = keys.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    met = written(met, "simhash-keys")
+    small, full = _met(keys, few, broadcast_keys)
+    inner = [_longs([m | n for n in key_masks([b for b in range(BITS) if not m >> b & 1])]) for m in masks]
+    deeper = full.select("fp", F.expr(f"posexplode(transform(element_at(array({', '.join(inner)}), k + 1), m -> fp & m)) AS (j, v)"), "k")
+    smaller, fullest = _met(deeper.select((F.col("k") * len(masks) + F.col("j")).alias("k"), "v", "fp"), few, broadcast_keys)
 
-    start = f"array({', '.join(map(str, starts))})[k]"
-    within = [f"bit_count((a ^ b) & {_longs(chains[n - 1])}[{start}]) <= {n * DIFFER // m}" for n in range(1, m)]
-    pairs = met.where("n = 2").where(" AND ".join([*within, f"bit_count(a ^ b) <= {DIFFER}"])).select("a", "b")
+    def pairs(held: DataFrame) -> DataFrame:
+        a, b = held.select("k", "v", F.col("fp").alias("a")), held.select("k", "v", F.col("fp").alias("b"))
+        return a.join(b, (a.k == b.k) & (a.v == b.v) & F.expr(f"a < b AND {ring_test()}")).select("a", "b")
 
     near = [0, *(1 << i for i in range(BITS)), *((1 << i) | (1 << j) for i in range(BITS) for j in range(i))]
-    fuller = met.where("n > 2").select("k", "v")
-    fuller = F.broadcast(fuller) if fuller.count() <= broadcast_keys else fuller
-    dense = written(keys.join(fuller, ["k", "v"], "left_semi").select("fp").distinct(), "simhash-dense")
-    around = dense.repartition(parts).select("fp", F.explode(F.expr(f"transform({_longs(near)}, m -> fp ^ m)")).alias("v"))
-    low = F.min("fp").over(Window.partitionBy("v"))
+    around = fullest.select("fp").distinct().repartition(parts).select("fp", F.explode(F.expr(f"transform({_longs(near)}, m -> fp ^ m)")).alias("v"))
+    low = F.min("fp").over(Window.partitionBy("v"))  # a value has 2,081 neighbours at most
     stars = around.select(low.alias("a"), F.col("fp").alias("b")).where("a < b")
-    return pairs.unionAll(stars).distinct()
+    return pairs(small).unionAll(pairs(smaller)).unionAll(stars).distinct()
 
 
 def classes(prints: DataFrame, **options) -> DataFrame:
@@ -175,10 +174,14 @@ def rings(docs: DataFrame, *, words: int, doc_id: str = "doc_id", text: str = "t
     """(doc_id, node, f0, f1, f2, f3)."""
 
     def run(batches):
-        for batch in batches:
-            w = [_words(t) for t in batch.column("text").to_pylist()]
-            f = np.array([ring(shingles(x, words)) for x in w], np.uint64).reshape(-1, 4).view(np.int64)
-            cols = [batch.column("doc_id"), pa.array([node(x) for x in w], pa.int64()), *(pa.array(f[:, i].copy()) for i in range(4))]
+        for batch in sliced(batches):
+            f, nodes = np.zeros((batch.num_rows, 4), np.uint64), []
+            for i, t in enumerate(batch.column("text").to_pylist()):  # a text's words at a time
+                w = _words(t)
+                f[i] = ring(shingles(w, words))
+                nodes.append(node(w))
+            f = f.view(np.int64)
+            cols = [batch.column("doc_id"), pa.array(nodes, pa.int64()), *(pa.array(f[:, i].copy()) for i in range(4))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "f0", "f1", "f2", "f3"])
 
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -207,7 +210,7 @@ def arcs(n: int, similar: float, seed: int = 7) -> np.ndarray:
 
 
 def _meet(limit: int):
-    """Rows (key, node, f0) sorted by key -> (a, b, f0, big): all pairs of a key of at most ``FEW`` nodes, first words at most
+    """Holds ``FEW`` rows beside a batch, however many a key has. Rows (key, node, f0) sorted by key -> (a, b, f0, big): all pairs of a key of at most ``FEW`` nodes, first words at most
     ``limit`` bits apart. Of a key of more, every node b and its f0 with one of them, a, and the key as ``big``."""
     names, odd = ["a", "b", "f0", "big"], np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -224,23 +227,36 @@ def _meet(limit: int):
             a, b = node[i], node[i + d]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())], names)
         for at, n in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
-            some = node[at : at + n]
-            one = some[np.argmin(some.view(np.uint64) * odd[int(key[at]) & 3])]  # not the same one under every key
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, one)), pa.array(some), pa.array(f[at : at + n]), pa.array(key[at : at + n])], names)
+            one = chosen(key[at], node[at : at + n])
+            yield star(one, key[at : at + n], node[at : at + n], f[at : at + n])
+
+    def chosen(key, some):
+        return some[np.argmin(some.view(np.uint64) * odd[int(key) & 3])]  # not the same one under every key
+
+    def star(one, key, node, f):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(node), one)), pa.array(node), pa.array(f), pa.array(key)], names)
 
     def run(batches):
-        held: list[tuple] = []
+        held, one, key = None, None, None  # the last key's rows so far; of a key of many only its one
         for batch in batches:
-            if not batch.num_rows:
-                continue
             now = tuple(batch.column(c).to_numpy() for c in ("key", "node", "f0"))
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            if cut or (held and held[0][0][0] != now[0][0]):
-                yield from pairs(*map(np.concatenate, zip(*held, tuple(x[:cut] for x in now))))
-                held = []
-            held.append(tuple(x[cut:] for x in now))
-        if held:
-            yield from pairs(*map(np.concatenate, zip(*held)))
+            if held is not None:
+                now, held = tuple(map(np.concatenate, zip(held, now))), None
+            if key is not None:
+                n = int(np.searchsorted(now[0], key, side="right"))
+                yield star(one, *(x[:n] for x in now))
+                now = tuple(x[n:] for x in now)
+            if not len(now[0]):
+                continue
+            cut, key = int(np.searchsorted(now[0], now[0][-1])), None
+            yield from pairs(*(x[:cut] for x in now))
+            held = tuple(x[cut:] for x in now)
+            if len(held[0]) > FEW:
+                key, one = held[0][0], chosen(held[0][0], held[1])
+                yield star(one, *held)
+                held = None
+        if held is not None:
+            yield from pairs(*held)
 
     return run
 
@@ -269,17 +285,21 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
     met = written(met, "ring-pairs")
 
     def texts(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             t = batch.column("text")
             yield pa.RecordBatch.from_arrays([pa.array([node(_words(x)) for x in t.to_pylist()], pa.int64()), t], ["node", "text"])
 
     def alike(batches):
-        of = lru_cache(64)(lambda t: shingles(_words(t), words))
-        for batch in batches:
+        def hashed(t):
+            some = shingles(_words(t), words)
+            return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x, 7) for x in some), np.uint64, len(some)))
+
+        of = lru_cache(16)(hashed)  # eight bytes a shingle
+        for batch in sliced(batches, 32):
             keep = []
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
                 x, y = of(x), of(y)
-                both = len(x & y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -330,7 +350,7 @@ def keep_one(docs: DataFrame, *, words: int = 5, similar: float | None = None, d
     stay = written(stay.select(F.col("s.doc_id").alias(doc_id), "s._key", "s._n"), "kept")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             values = pa.array([key_of(t) for t in batch.column(text).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "_key"])
 
