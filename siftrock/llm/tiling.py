@@ -1,31 +1,33 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin hashes.
 
 The benchmark is a stated query set that goes over all documents in blocks: each block (at most about
-``block_chars`` of text) is indexed by the rolling hashes of its ``min_match``-token windows and broadcast, so its size
-is bounded whatever the benchmark's. A document's windows are looked up in the index; equal windows on one
-diagonal make maximal matches. Greedy tiling marks the longest unmarked match (ties: first in the item, then in the
-document), cuts the rest to what is still unmarked, and goes on. As tiles may lie in any order, reordered passages
-count in full. A document holds an item if tiles cover at least ``threshold`` of the item's tokens.
+``block_chars`` of text) is indexed by the rolling hashes of its ``min_match``-token windows and broadcast, so a task holds one block,
+whatever the benchmark's size. The distinct windows of a document are looked up in the index, which bounds how much of each item it can
+cover; items within reach are tiled. Greedy tiling marks the longest unmarked match (ties: first in the item, then in the
+document) and goes on with what is unmarked: the longest length is found by halving, as hashes of windows of any length come from running
+sums, and all tiles of one length are marked in one pass over item and document, so no pairs of positions are listed. As tiles may lie
+in any order, reordered passages count in full. A document holds an item if tiles cover at least ``threshold`` of the item's tokens.
 Tokens are runs of letters, digits and underscores in lower case.
 
 Defined results: null and empty texts hold nothing; items without tokens are never held; an item shorter than
 ``min_match`` must occur whole. Rows that repeat are judged each. An item id that repeats gives a row for each of
-its texts. Whole texts are scanned, in pieces of bounded memory only as Arrow batches bound them.
+its texts. Whole texts are scanned.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import sliced, written
+
 WORD = re.compile(r"\w+")
-_P = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
 
 FOUND = "doc_id long, item_id long, covered int, item_tokens int, coverage double, tiles int, longest int"
 
@@ -34,17 +36,27 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def windows(ids: np.ndarray, k: int) -> np.ndarray:
-    """The Karp-Rabin hash (modulo 2**64) of each window of k ids."""
-    if len(ids) < k:
-        return np.zeros(0, np.uint64)
-    v = ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x632BE59BD9B4E019)
-    v ^= v >> np.uint64(29)
-    h = v[: len(v) - k + 1].copy()
-    for i in range(1, k):
-        h *= _P
-        h += v[i : len(v) - k + 1 + i]
-    return h
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n + 1, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Running:
+    """Karp-Rabin hashes (modulo 2**64) of the windows of any length of token ids, from running sums."""
+
+    def __init__(self, ids: np.ndarray):
+        v = ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x632BE59BD9B4E019)
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(0xBF58476D1CE4E5B9)
+        self.n = len(v)
+        self.up = _powers(self.n, BASE)  # window k is sum of v[k + i] * BASE**-i
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v * _powers(self.n, pow(BASE, -1, 1 << 64))[: self.n], dtype=np.uint64)])
+
+    def windows(self, k: int, at: np.ndarray | None = None) -> np.ndarray:
+        """The hashes of the windows of k ids, of all or of those that begin at ``at``."""
+        at = np.arange(max(0, self.n - k + 1)) if at is None else at
+        return (self.sums[at + k] - self.sums[at]) * self.up[at]
 
 
 class Index:
@@ -60,7 +72,7 @@ class Index:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
         self.short = [i for i, t in enumerate(self.items) if len(t) < min_match]
-        hashes = [windows(t, min_match) for t in self.items]
+        hashes = [Running(t).windows(min_match) for t in self.items]
         where = [np.stack([np.full(len(h), i), np.arange(len(h))], 1) for i, h in enumerate(hashes)]
         flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         order = np.argsort(flat, kind="stable")
@@ -73,57 +85,70 @@ class Index:
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
-    def seeds(self, doc: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """By item: (position in the document, position in the item) of equal windows."""
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def within_reach(self, doc: np.ndarray, threshold: float) -> list[int]:
+        """The items that tiles of ``doc`` may cover enough of: those whose windows that it has cover enough."""
+        out = []
         if len(doc) >= self.k and len(self.hashes):
             known = np.concatenate([[0], np.cumsum(doc == 0)])
             at = np.flatnonzero(known[self.k :] == known[: -self.k])
             if len(at):
-                h = windows(doc, self.k)[at]
+                h = np.unique(Running(doc).windows(self.k, at))
                 low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-                for j in np.flatnonzero(high > low):
-                    p = int(at[j])
-                    for item, t in self.where[low[j] : high[j]].tolist():
-                        if np.array_equal(doc[p : p + self.k], self.items[item][t : t + self.k]):
-                            out[item].append((p, t))
-        for item in self.short:
-            whole = self.items[item]
-            n = len(whole)
-            if len(doc) >= n:
-                hit = np.ones(len(doc) - n + 1, bool)
-                for i in range(n):
-                    hit &= doc[i : len(doc) - n + 1 + i] == whole[i]
-                out[item] += [(int(p), 0) for p in np.flatnonzero(hit)[:1]]
-        return out
-
-
-def tile(seeds: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (length, item position, document position) from the equal windows of k tokens."""
-    runs: dict[int, list[int]] = defaultdict(list)
-    for p, t in seeds:
-        runs[p - t].append(t)
-    heap = []
-    for diagonal, ts in runs.items():
-        ts = np.unique(ts)
-        for part in np.split(ts, np.flatnonzero(np.diff(ts) > 1) + 1):
-            heap.append((-(int(part[-1] - part[0]) + k), int(part[0]), int(part[0]) + diagonal))
-    heapq.heapify(heap)
-    in_item, in_doc, tiles = set(), set(), []
-    while heap:
-        n, t, p = heapq.heappop(heap)
-        free = [t + i not in in_item and p + i not in in_doc for i in range(-n)]
-        if all(free):
-            tiles.append((-n, t, p))
-            in_item.update(range(t, t - n))
-            in_doc.update(range(p, p - n))
-        else:
-            start = 0
-            for i, ok in enumerate([*free, False]):
-                if not ok:
-                    if i - start >= k:
-                        heapq.heappush(heap, (start - i, t + start, p + start))
-                    start = i + 1
+                counts = (high - low)[high > low]
+                rows = np.repeat(low[high > low] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                where = self.where[rows]
+                where = where[np.argsort(where[:, 0], kind="stable")]
+                for part in np.split(where, np.flatnonzero(np.diff(where[:, 0])) + 1):
+                    if len(part):
+                        item = int(part[0, 0])
+                        edges = np.zeros(len(self.items[item]) + 1, np.int64)
+                        np.add.at(edges, part[:, 1], 1)
+                        np.add.at(edges, part[:, 1] + self.k, -1)
+                        if np.count_nonzero(np.cumsum(edges)) >= threshold * len(self.items[item]):
+                            out.append(item)
+        return sorted(out + [i for i in self.short if len(doc) >= len(self.items[i])])
+
+
+def tile(item: np.ndarray, doc: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (length, item position, document position) of at least k equal tokens."""
+    sides = [(ids, Running(ids), np.zeros(len(ids), bool)) for ids in (item, doc)]
+
+    def free(side: int, n: int) -> np.ndarray:
+        """Where unmarked windows of n tokens begin."""
+        marked = np.concatenate([[0], np.cumsum(sides[side][2])])
+        return np.flatnonzero(marked[n:] == marked[:-n]) if n < len(marked) else np.zeros(0, np.int64)
+
+    def common(n: int):
+        t, p = free(0, n), free(1, n)
+        ht, hp = sides[0][1].windows(n, t), sides[1][1].windows(n, p)
+        return t[np.isin(ht, hp)], p[np.isin(hp, ht)]
+
+    tiles, top = [], min(len(item), len(doc))
+    while top >= k:
+        if not len(common(k)[0]):
+            break
+        low, high = k, top  # a match of n tokens holds one of n - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)[0]) else (low, middle - 1)
+        starts, ends = common(low)
+        places = defaultdict(deque)
+        for h, p in zip(sides[1][1].windows(low, ends).tolist(), ends.tolist(), strict=True):
+            places[h].append(p)
+        in_item, in_doc = sides[0][2], sides[1][2]
+        for h, t in zip(sides[0][1].windows(low, starts).tolist(), starts.tolist(), strict=True):
+            some = places[h]
+            if in_item[t : t + low].any():
+                continue
+            while some and in_doc[some[0] : some[0] + low].any():
+                some.popleft()  # marked for good
+            if some and np.array_equal(item[t : t + low], doc[some[0] : some[0] + low]):
+                p = some.popleft()
+                tiles.append((low, t, p))
+                in_item[t : t + low], in_doc[p : p + low] = True, True
+        if in_item.all():
+            break
+        top = low - 1
     return tiles
 
 
@@ -131,17 +156,13 @@ def held_items(index: Index, text: str | None, threshold: float) -> list[tuple[i
     """(item number, covered, item tokens, coverage, tiles, longest tile) of the items that a text holds."""
     out = []
     doc = index.encode(text)
-    for item, seeds in sorted(index.seeds(doc).items()):
-        n = len(index.items[item])
-        k = min(index.k, n)
-        reach = np.zeros(n, bool)  # tiles lie within the windows found: a bound that needs no tiling
-        for t in {t for _, t in seeds}:
-            reach[t : t + k] = True
-        if reach.sum() >= threshold * n:
-            tiles = tile(seeds, k)
-            covered = sum(x[0] for x in tiles)
-            if covered >= threshold * n:
-                out.append((item, covered, n, covered / n, len(tiles), max(x[0] for x in tiles)))
+    for i in index.within_reach(doc, threshold):
+        item = index.items[i]
+        n = len(item)
+        tiles = tile(item, doc, min(index.k, n))
+        covered = sum(x[0] for x in tiles)
+        if tiles and covered >= threshold * n:
+            out.append((i, covered, n, covered / n, len(tiles), max(x[0] for x in tiles)))
     return out
 
 
@@ -165,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 4, t
         def scan(batches, index=index):
             names = [c.split()[0] for c in FOUND.split(", ")]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
-            for batch in batches:
+            for batch in sliced(batches):
                 got = [
                     (key, index.value.ids[item], *rest)
                     for key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
@@ -179,15 +200,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 4, t
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 4, threshold: float = 0.5, block_chars: int = 20_000_000, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """``docs`` without the rows that hold an item: a filter within each task, without join or shuffle."""
+    """``docs`` without the rows that hold an item: a filter within each task, without join or shuffle; a written table between blocks."""
+    more = False
     for index in blocks(benchmark, min_match=min_match, block_chars=block_chars, item_id=item_id, text="text"):
 
         def keep(batches, index=index):
-            for batch in batches:
+            for batch in sliced(batches):
                 clean = [not held_items(index.value, t, threshold) for t in batch.column(text).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        if more:  # a task is to hold one index at a time
+            docs = written(docs, "decontaminated")
+        docs, more = docs.mapInArrow(keep, docs.schema), True
     return docs
 
 

@@ -1,7 +1,9 @@
 """SimHash components and string tiling against plain versions that compare everything with everything."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -187,6 +189,24 @@ def plain_tiles(item, doc, k):
         in_doc |= set(range(p, p + n))
 
 
+def test_tiles_are_those_of_the_textbook():
+    rng = np.random.default_rng(6)
+    for letters in (1, 2, 3, 8):
+        for _ in range(40):
+            item, doc = rng.integers(0, letters, rng.integers(1, 25)), rng.integers(0, letters, rng.integers(1, 40))
+            k = int(rng.integers(1, 4))
+            assert tiling.tile(item, doc, k) == plain_tiles(item.tolist(), doc.tolist(), k)
+
+
+def test_repetitive_texts_take_time_in_proportion():
+    index = tiling.Index([(1, "a " * 400), (2, "b c " * 200)], 4)
+    began = time.time()
+    for n in (2_000, 50_000):
+        assert [x[1:3] for x in tiling.held_items(index, "a " * n, 0.5)] == [(400, 400)]
+    assert [x[:3] for x in tiling.held_items(index, "c b " * 25_000, 0.5)] == [(1, 400, 400)]
+    assert time.time() - began < 5
+
+
 def test_tiling_against_the_textbook(spark):
     items = [(i, prose(random.randint(2, 40))) for i in range(12)] + [(50, None), (51, "..."), (52, "a b")]
     docs = []
@@ -216,4 +236,6 @@ def test_decontamination_keeps_columns(spark):
     got = tiling.decontaminate(docs, items)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [2, 3]
     assert tiling.decontaminate(docs, items.limit(0)).count() == 4
+    more = spark.createDataFrame([(7, "Quick brown fox jumps"), (8, "one two three four five"), (9, "else")], "item_id long, text string")
+    assert [r.doc_id for r in tiling.decontaminate(docs, more, block_chars=20).collect()] == [3]
     assert tiling.contaminated(docs.limit(0), items).count() == 0
