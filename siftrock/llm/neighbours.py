@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Each of ``curves`` orders all vectors along a Hilbert curve through a random low-dimensional projection whose
-coordinates are mapped to ranks (by quantiles of a bounded sample) and shifted at random. A curve's keys are cut into
-ranges of at most about ``block_rows`` vectors; a query goes to the ranges its key window touches, is scored there in
-double precision against the original vectors, and the curves' results are merged and ranked again.
-
-The window (a share of each curve on either side) is the smallest whose recall on the sample, against brute
-force, reaches ``target``. For vectors with structure it is a sliver; for directionless ones it must
-be wide, and the scan grows with it: no ordering can help there. Every row is indexed; only projections,
-quantiles and the window come from the sample (``sample_rows``).
+Each curve orders all vectors along a Hilbert curve through a random low-dimensional projection whose
+coordinates are mapped to ranks (by quantiles of a bounded sample) and shifted at random. A curve's keys are range-partitioned and
+sorted by Spark, a copy of each vector on each curve; a query takes its place among them and is scored, in double precision on the
+original vectors, against the ``window`` vectors before it and after it. The curves' results are merged and ranked again.
+A task holds a few windows at a time. Windows end at a partition's borders; partitions hold 16 windows and more, and other
+curves have other borders, so that costs a little recall, no rows.
+
+The number of curves and the window are those with the fewest scored pairs whose recall on the sample, against brute force, reaches
+``target``. Many curves with narrow windows find more than few with wide ones. For vectors with structure the windows are slivers; for
+directionless ones they stay a share of all vectors: no ordering can help there, and the scan grows with that share.
+Every row is indexed; only projections, quantiles, curves and window come from the sample (``sample_rows``).
 
 Largest inner products are nearest neighbours after a further coordinate evens out the lengths. Equal
-vectors are one entry with its ``k + 1`` smallest ids, so a hot vector fills no range, and ties go to smaller ids exactly.
+vectors are one entry with its ``k + 1`` smallest ids, so a hot vector fills no window, and ties go to smaller ids exactly.
 
 Defined results: vectors that are null, zero, or hold null or non-finite numbers take no part; nor do those without id
 or of another length than most. Of rows that repeat an id, the largest vector counts. Empty tables give no rows.
@@ -23,11 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .shared import written
+from .shared import hash_cut, sliced, written
 
-BITS, TIE_BITS = 12, 12
-GRID = (0.002, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.09, 0.1, 0.12, 0.14, 0.17, 0.2, 0.25, 0.33, 0.5, 1.0)
+TIE_BITS = 7
+#: Numbers of curves that are tried on the sample.
+CURVES = (4, 8, 16, 32, 48)
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -61,11 +65,16 @@ class Curves:
         rng = np.random.default_rng(seed)
         d = sample.shape[1] + 1
         self.longest, self.width = longest, min(width, d)
+        self.bits = min(12, (62 - TIE_BITS) // self.width)
         self.projections = [np.linalg.qr(rng.normal(size=(d, self.width)))[0] for _ in range(curves)]
         self.shifts = rng.random((curves, self.width))
         grid = np.linspace(0, 1, 257)
         self.knots = [np.quantile(self.lengthened(sample) @ p, grid, axis=0) for p in self.projections]
 
+    def keep(self, curves: int) -> None:
+        """Only the first so many."""
+        self.projections, self.knots, self.shifts = self.projections[:curves], self.knots[:curves], self.shifts[:curves]
+
     def lengthened(self, x: np.ndarray, queries: bool = False) -> np.ndarray:
         squares = (x * x).sum(1)
         if queries:
@@ -80,40 +89,108 @@ class Curves:
         for c, (p, knots, shift) in enumerate(zip(self.projections, self.knots, self.shifts, strict=True)):
             y = long @ p
             u = np.column_stack([np.interp(y[:, j], knots[:, j], grid) for j in range(self.width)])
-            cells = np.minimum((u + shift) / 2 * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
-            out[:, c] = hilbert(cells, BITS) << TIE_BITS | tie
+            cells = np.minimum((u + shift) / 2 * (1 << self.bits), (1 << self.bits) - 1).astype(np.int64)
+            out[:, c] = hilbert(cells, self.bits) << TIE_BITS | tie
         return out
 
 
-def pick_window(curves: Curves, sample: np.ndarray, k: int, target: float, queries: int = 256) -> float:
-    """The smallest window of ``GRID`` whose recall on the sample reaches ``target``. Neighbours are farther apart in
-    a sample than in the whole, so the whole's recall is hardly lower."""
+def pick(order: Curves, sample: np.ndarray, total: int, k: int, target: float, queries: int = 256) -> tuple[int, float]:
+    """(curves, window as a share of a curve) with the fewest scored pairs whose recall on the sample reaches ``target``. Of ``total``
+    entries the ``k`` nearest are as near as the ``k * len(sample) / total`` nearest of the sample, so recall is that of those."""
     n = len(sample)
-    if n <= 4 * k:
-        return 1.0
     ids = np.arange(n)
     some = ids[:: max(1, n // queries)]
-    data, asked = curves.keys(sample, ids), curves.keys(sample[some], some, queries=True)
+    data, asked = order.keys(sample, ids), order.keys(sample[some], some, queries=True)
     scores = sample[some] @ sample.T
     scores[np.arange(len(some)), some] = -np.inf
-    best = np.argpartition(-scores, k, axis=1)[:, :k]
-    near = np.full(best.shape, np.inf)
+    near = max(1, min(n - 1, -(-k * n // total)))
+    best = np.argpartition(-scores, near - 1, axis=1)[:, :near]
+    apart, tried = np.full(best.shape, np.inf), []
     for c in range(data.shape[1]):
-        order = np.sort(data[:, c])
-        at, of = np.searchsorted(order, data[:, c]) / n, np.searchsorted(order, asked[:, c]) / n
-        near = np.minimum(near, np.abs(at[best] - of[:, None]))
-    return next(w for w in GRID if (near <= w).mean() >= target or w == GRID[-1])
+        sorted_keys = np.sort(data[:, c])
+        at, of = np.searchsorted(sorted_keys, data[:, c]) / n, np.searchsorted(sorted_keys, asked[:, c]) / n
+        apart = np.minimum(apart, np.abs(at[best] - of[:, None]))
+        if c + 1 in CURVES:
+            window = float(np.quantile(apart, target, method="higher")) + 1 / n
+            tried.append(((c + 1) * max(window, 1 / 500), c + 1, window))
+    return min(tried)[1:]
 
 
 def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(id, v array<double>) of the vectors that take part, an id once."""
     v = F.col(embedding)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+    kind = "array<float>" if vectors.schema[embedding].dataType == ArrayType(FloatType()) else "array<double>"  # floats are shipped as they are
+    rows = vectors.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("id"), v.cast(kind).alias("v"))
     return rows.groupBy("id").agg(F.max("v").alias("v"))
 
 
-def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, curves: int = 10, width: int = 4, target: float = 0.96, sample_rows: int = 4096, block_rows: int = 4096, query_rows: int = 4096, seed: int = 11, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def scan(k: int, window: int, kind: str):
+    """Rows (curve, key, asks, e, v) sorted by curve and key -> (q, e, score): each query's ``k`` best among the ``window`` entries
+    before it and after it on its curve, as far as this partition goes. ``v`` is bytes of numbers of ``kind``."""
+    step = max(256, window)
+
+    def top(qs, xq, es, xe):
+        scores = xq @ xe.T
+        n = min(k, len(es))
+        least = np.partition(scores, len(es) - n, axis=1)[:, len(es) - n]
+        i, j = np.nonzero(scores >= least[:, None])
+        values = scores[i, j]
+        by = np.lexsort((es[j], -values, i))
+        i, j, values = i[by], j[by], values[by]
+        counts = np.bincount(i, minlength=len(qs))
+        first = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) < n
+        return pa.RecordBatch.from_arrays([pa.array(qs[i[first]]), pa.array(es[j[first]]), pa.array(values[first])], ["q", "e", "score"])
+
+    def curve_runs(batches):
+        """(new curve?, asks, e, matrix) of runs of one curve."""
+        last = None
+        for batch in batches:
+            curve = batch.column("curve").to_numpy()
+            asks, e = batch.column("asks").to_numpy(zero_copy_only=False), batch.column("e").to_numpy()
+            data = batch.column("v")
+            x = np.frombuffer(data.buffers()[2], kind)
+            d = len(data[0].as_py()) // np.dtype(kind).itemsize
+            x = x[data.offset * d : (data.offset + len(data)) * d].reshape(-1, d)
+            for at in np.split(np.arange(len(curve)), np.flatnonzero(np.diff(curve)) + 1):
+                if len(at):
+                    here = slice(at[0], at[-1] + 1)
+                    yield curve[at[0]] != last, asks[here], e[here], x[here].astype(np.float64)
+                    last = curve[at[0]]
+
+    def score(es, xe, queries, upto):
+        """Queries placed before entry ``upto`` of those held, in steps; returns the queries left."""
+        place = queries[2]
+        for low in range(0, upto, step):
+            mine = (place >= low) & (place < min(upto, low + step))
+            if mine.any():
+                near = slice(max(0, low - window), low + step + window)
+                if len(es[near]):
+                    yield top(queries[0][mine], queries[1][mine], es[near], xe[near])
+
+    def run(batches):
+        es, xe, queries = None, None, None  # entries held, and queries with their places among them
+        for new, asks, e, x in curve_runs(batches):
+            if new and es is not None:
+                yield from score(es, xe, queries, len(es) + 1)
+                es = None
+            if es is None:
+                es, xe, queries = e[:0], x[:0], (e[:0], x[:0], np.zeros(0, np.int64))
+            place = len(es) + np.cumsum(~asks) - ~asks
+            es, xe = np.concatenate([es, e[~asks]]), np.concatenate([xe, x[~asks]])
+            queries = tuple(map(np.concatenate, zip(queries, (e[asks], x[asks], place[asks]))))
+            ready = (len(es) - window) // step * step  # their windows are all here
+            if ready > 4 * step:
+                yield from score(es, xe, queries, ready)
+                rest, cut = queries[2] >= ready, max(0, ready - window)
+                es, xe, queries = es[cut:], xe[cut:], (queries[0][rest], queries[1][rest], queries[2][rest] - cut)
+        if es is not None:
+            yield from score(es, xe, queries, len(es) + 1)
+
+    return run
+
+
+def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, width: int = 8, target: float = 0.95, sample_rows: int = 4096, partition_rows: int = 65_536, seed: int = 11, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each id divisible by ``every``."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -121,8 +198,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, curves: int = 1
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     if sizes is None:
         return empty
-    d = sizes.d
-    rows = rows.where(F.size("v") == d)
+    rows = rows.where(F.size("v") == sizes.d)
     first = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)  # limited before the shuffle as well
     entries = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -131,85 +207,37 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, curves: int = 1
     asked = asking.select("v").distinct().withColumn("asks", F.lit(True))
     entries = written(entries.join(asked, "v", "left").withColumn("asks", F.coalesce("asks", F.lit(False))), "entries")
 
-    about = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.count(F.when(F.col("asks"), 1)).alias("q")).first()
-    sample = np.array([r.v for r in entries.orderBy(F.xxhash64("e"), "e").limit(sample_rows).select("v").collect()], float)
-    order = Curves(sample, float(np.sqrt(about.m)), curves, width, seed)
-    window = pick_window(order, sample, k, target)
-    shared = spark.sparkContext.broadcast(order)
-
-    def keyed(batches):
-        for batch in batches:
-            x = np.array(batch.column("v").flatten()).reshape(-1, d)
-            ids = batch.column("e").to_numpy(zero_copy_only=False)
-            keys, asks = shared.value.keys(x, ids), shared.value.keys(x, ids, queries=True)
-            flat = pa.array(list(x.astype("<f8").tobytes()[i * 8 * d : (i + 1) * 8 * d] for i in range(len(x))), pa.binary())
-            lists = [pa.array(a.tolist(), pa.list_(pa.int64())) for a in (keys, asks)]
-            yield pa.RecordBatch.from_arrays([batch.column("e"), batch.column("asks"), flat, *lists], ["e", "asks", "v", "keys", "asked"])
-
-    keys = written(entries.select("e", "asks", "v").mapInArrow(keyed, "e long, asks boolean, v binary, keys array<long>, asked array<long>"), "curve-keys")
-
-    blocks = max(1, -(-about.n // block_rows), min(48, about.n // 64))
-    chunks = max(1, -(-int(about.q * min(1.0, 2 * window + 1 / blocks)) // query_rows))
-    shares = [i / blocks for i in range(1, blocks)]
-    cuts = keys.select(F.posexplode("keys").alias("c", "key")).groupBy("c").agg(F.percentile_approx("key", shares or [0.5], 20 * max(blocks, 50)).alias("cuts"))
-    borders = spark.sparkContext.broadcast(np.array([r.cuts[: len(shares)] for r in cuts.orderBy("c").collect()], np.int64).reshape(curves, len(shares)))
+    squares = F.aggregate(F.transform("v", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x * x)
+    about = entries.agg(F.count(F.lit(1)).alias("n"), F.max(squares).alias("m")).first()
+    cut = hash_cut(sample_rows, about.n)
+    some = entries if cut is None else entries.where(F.xxhash64("e") <= cut)
+    sample = np.array([r.v for r in some.orderBy(F.xxhash64("e"), "e").limit(sample_rows).select("v").collect()], float)
+    order = Curves(sample, float(np.sqrt(about.m)), max(CURVES), width, seed)
+    curves, share = pick(order, sample, about.n, k, target) if len(sample) > 1 else (CURVES[0], 1.0)
+    window = max(k + 1, int(np.ceil(share * about.n)))
+    order.keep(curves)
+    shared, kind = spark.sparkContext.broadcast(order), "<f4" if dict(rows.dtypes)["v"] == "array<float>" else "<f8"
 
     def dealt(batches):
-        names = ["cell", "asks", "e", "v"]
-        for batch in batches:
-            e, v = batch.column("e").to_numpy(zero_copy_only=False), batch.column("v")
-            asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            data = np.array(batch.column("keys").flatten()).reshape(-1, curves)
-            asked = np.array(batch.column("asked").flatten()).reshape(-1, curves)
+        names = ["curve", "key", "asks", "e", "v"]
+        for batch in sliced(batches, 1024):
+            n, v = batch.num_rows, batch.column("v")
+            flat = np.asarray(v.flatten()).astype(kind)
+            x, e = flat.reshape(n, -1), batch.column("e").to_numpy()
+            data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * x.shape[1] * x.itemsize).astype("<i4").tobytes()), pa.py_buffer(x.tobytes())])
+            mine = np.flatnonzero(batch.column("asks").to_numpy(zero_copy_only=False))
+            keys = shared.value.keys(x.astype(float), e)
+            asked = shared.value.keys(x[mine].astype(float), e[mine], queries=True)
             for c in range(curves):
-                cut = borders.value[c]
-                at = np.searchsorted(cut, data[:, c], side="right")
-                cell = ((c * blocks + at)[:, None] * chunks + np.arange(chunks)).ravel()
-                row = np.repeat(np.arange(len(e)), chunks)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.zeros(len(row), bool)), pa.array(e[row]), v.take(pa.array(row))], names)
-                mine = np.flatnonzero(asks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(keys[:, c].copy()), pa.array(np.zeros(n, bool)), batch.column("e"), data], names)
                 if len(mine):
-                    place = position(cut, asked[mine, c])
-                    low = np.floor(np.maximum(place - window, 0) * blocks).astype(np.int64)
-                    high = np.minimum(np.floor((place + window) * blocks), blocks - 1).astype(np.int64)
-                    many = high - low + 1
-                    row = np.repeat(mine, many)
-                    block = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    cell = (c * blocks + block) * chunks + e[row] % chunks
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.ones(len(row), bool)), pa.array(e[row]), v.take(pa.array(row))], names)
-
-    def position(cut, key):
-        """Where a key lies on the curve, from 0 to 1: its range, and linearly within that."""
-        at = np.searchsorted(cut, key, side="right")
-        edges = np.concatenate([[0], cut, [1 << (BITS * order.width + TIE_BITS)]]).astype(float)
-        part = (key - edges[at]) / np.maximum(edges[at + 1] - edges[at], 1)
-        return (at + np.clip(part, 0, 1)) / blocks
-
-    def best(table):
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        e = table.column("e").to_numpy(zero_copy_only=False)
-        x = np.frombuffer(b"".join(table.column("v").to_pylist()), "<f8").reshape(-1, d)
-        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out = [[], [], []]
-        for at in range(0, len(q) if len(c) else 0, 512):
-            some = q[at : at + 512]
-            scores = x[some] @ x[c].T
-            n = min(k + 1, len(c))
-            least = np.partition(scores, len(c) - n, axis=1)[:, len(c) - n]
-            i, j = np.nonzero(scores >= least[:, None])
-            s = scores[i, j]
-            by = np.lexsort((e[c[j]], -s, i))
-            i, j, s = i[by], j[by], s[by]
-            counts = np.bincount(i, minlength=len(some))
-            rank = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
-            top = rank < n
-            for col, values in zip(out, (e[some[i[top]]], e[c[j[top]]], s[top]), strict=True):
-                col.append(values)
-        cols = [np.concatenate([*o, np.zeros(0, t)]).astype(t) for o, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table({"q": cols[0], "e": cols[1], "score": cols[2]})
-
-    cells = keys.mapInArrow(dealt, "cell long, asks boolean, e long, v binary")
-    found = cells.groupBy("cell").applyInArrow(best, "q long, e long, score double")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), c, np.int32)), pa.array(asked[:, c].copy()), pa.array(np.ones(len(mine), bool)), pa.array(e[mine]), data.take(pa.array(mine))], names)
+
+    placed = entries.select("e", "asks", "v").mapInArrow(dealt, "curve int, key long, asks boolean, e long, v binary")
+    total, parts = curves * about.n, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(max(parts, total // partition_rows), total // (16 * window)))
+    placed = placed.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key")
+    found = placed.mapInArrow(scan(k + 1, window, kind), "q long, e long, score double")
     found = found.groupBy("q", "e").agg(F.max("score").alias("score"))
     ranked = Window.partitionBy("q").orderBy(F.desc("score"), "e")
     found = found.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).drop("r")

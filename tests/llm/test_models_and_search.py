@@ -146,6 +146,61 @@ def test_neighbours_recall_on_the_table(spark):
     assert sum(len(got[q] & set(b)) for q, b in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
+def scored_share(x, k=20):
+    """(pairs scored against brute force, recall) of what the search picks for these vectors."""
+    n, ids = len(x), np.arange(len(x))
+    order = neighbours.Curves(x[np.random.default_rng(0).permutation(n)[:4096]], float(np.linalg.norm(x, axis=1).max()), max(neighbours.CURVES), 8, 11)
+    curves, share = neighbours.pick(order, x[np.random.default_rng(0).permutation(n)[:4096]], n, k, 0.95)
+    order.keep(curves)
+    window, q = max(k + 1, int(np.ceil(share * n))), ids[::20]
+    keys, asked = order.keys(x, ids), order.keys(x[q], q, queries=True)
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -np.inf
+    best, hit = np.argpartition(-scores, k, axis=1)[:, :k], False
+    for c in range(curves):
+        by = np.argsort(keys[:, c], kind="stable")
+        place = np.argsort(by)
+        apart = place[best] - np.searchsorted(keys[by, c], asked[:, c])[:, None]
+        hit |= (apart >= -window) & (apart < window)
+    return curves * 2 * window / n, hit.mean()
+
+
+def test_clustered_vectors_need_a_fraction_of_brute_force():
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(400, 64))
+    share, recall = scored_share(centers[np.arange(20_000) % 400] + 0.3 * rng.normal(size=(20_000, 64)))
+    assert share < 0.2 and recall >= 0.9
+
+
+@pytest.mark.parametrize("window", [3, 50, 1000])
+def test_scan_against_all_windows(window):
+    """Rows of two curves in batches of any size, as two tasks' worth of one: every query gets the best of its window."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n = 1500
+    curve = np.sort(rng.integers(0, 2, n)).astype(np.int32)
+    asks, e, x = rng.random(n) < 0.1, rng.permutation(n), rng.normal(size=(n, 4))
+    batches = []
+    for at in range(0, n, 97):
+        here = slice(at, at + 97)
+        cols = [pa.array(curve[here]), pa.array(np.arange(n)[here]), pa.array(asks[here]), pa.array(e[here]), pa.array([v.tobytes() for v in x[here]], pa.binary())]
+        batches.append(pa.RecordBatch.from_arrays(cols, ["curve", "key", "asks", "e", "v"]))
+    got = {}
+    for b in neighbours.scan(3, window, "<f8")(batches):
+        for q, i, s in zip(*(c.to_pylist() for c in b.columns)):
+            got.setdefault(q, {})[i] = s
+    for c in (0, 1):
+        mine = np.flatnonzero(curve == c)
+        data, places = mine[~asks[mine]], np.cumsum(~asks[mine])
+        for j, i in enumerate(mine):
+            if asks[i]:
+                near = data[max(0, places[j] - window) : places[j] + window]
+                best = sorted(-(x[near] @ x[i]))[:3]
+                mine_best = sorted(-s for s in got[e[i]].values())
+                assert all(a <= b + 1e-12 for a, b in zip(mine_best, best)) and len(mine_best) >= min(3, len(near))
+
+
 def test_few_neighbours(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.nearest(spark.createDataFrame([], schema)).collect() == []
