@@ -108,7 +108,7 @@ def _met(keys: DataFrame, few: int, broadcast_keys: int) -> tuple[DataFrame, Dat
     return held.where(f"n <= {few}").drop("n"), held.where(f"n > {few}").drop("n")
 
 
-def links(nodes: DataFrame, *, few: int = 32, broadcast_keys: int = 1_000_000) -> DataFrame:
+def links(nodes: DataFrame, *, few: int = 2, broadcast_keys: int = 1_000_000) -> DataFrame:
     """(a, b): pairs of the distinct values ``fp`` of ``nodes``, a written table, at most four bits apart, that connect all such pairs."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = nodes.select("fp").repartition(parts)  # a few bytes a row here, dozens of keys a row below
