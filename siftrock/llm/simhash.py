@@ -1,15 +1,14 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-A 64-bit fingerprint is a ring of seven segments. If two fingerprints differ in at most four bits, at least three segments are
+A 64-bit fingerprint is a ring of eight segments. If two fingerprints differ in at most four bits, at least four segments are
 equal, and from some segment on the differences of every chain of consecutive segments stay within the chain's share of
-the budget: 0, 1, 1, 2, 2, 3, 4 bits for chains of 1 to 7 segments. The keys are the 35 choices of three segments (27 bits or
-28). What meets under a key must pass the chains; only then all bits are counted.
-
-Only distinct fingerprints are compared. Keys are counted first and those that only one fingerprint has are dropped. Under a key of
-at most ``few`` fingerprints each pair is tried. A fuller key is divided by the 35 choices of three in seven segments of the bits that it leaves
-open, which finds all pairs within four bits again, now among keys of 42 bits and more. What is still fuller is so dense that its links
-are found by neighbours: two fingerprints lie within four bits if and only if some value lies within two bits of both, so all that
-share one of their 2,081 neighbouring values are linked to the smallest of these. The plan is the same at every size; work and
+the budget: 0, 1, 1, 2, 2, 3, 3, 4 bits for chains of 1 to 8 segments. The keys are the 70 choices of four segments (32 bits), whatever the
+number of fingerprints, so unlike ones hardly ever meet. Two that meet must pass the chains; only then all bits are counted.
+
+Only distinct fingerprints are compared, and no pairs are made within a group. A key that two of them share
+gives its pair from an aggregate (least, greatest, count). Fingerprints under any fuller key are so dense that they are linked exactly by
+neighbours: two of them lie within four bits if and only if some value lies within two bits of
+both, so all that share one of their 2,081 neighbouring values are linked to the smallest of these. Work and
 rows grow with the number of fingerprints, not with the square of a group.
 
 Word shingles ask for more: at a Jaccard similarity of 0.8 two SimHashes differ in 0.15 of their bits, far beyond what
@@ -38,7 +37,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .components import connected
 from .shared import free_name, sliced, written
 
-BITS, DIFFER, SEGMENTS = 64, 4, 7
+BITS, DIFFER, SEGMENTS = 64, 4, 8
 RING, MISSED, FEW = 256, 0.01, 64
 
 
@@ -99,35 +98,27 @@ def _longs(values: list[int]) -> str:
     return f"array({', '.join(map(_long, values))})"
 
 
-def _met(keys: DataFrame, few: int, broadcast_keys: int) -> tuple[DataFrame, DataFrame]:
-    """(k, v, fp) under keys that 2 to ``few`` fingerprints have, and under fuller ones. Keys that several have, counted first, are broadcast
-    if at most ``broadcast_keys`` of them (some 24 bytes each); beyond that the join shuffles."""
-    counts = written(keys.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
-    shared = F.broadcast(counts) if counts.count() <= broadcast_keys else counts
-    held = written(keys.join(shared, ["k", "v"]), "simhash-met")
-    return held.where(f"n <= {few}").drop("n"), held.where(f"n > {few}").drop("n")
-
+def links(nodes: DataFrame, *, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """(a, b): pairs of the distinct values ``fp`` of ``nodes``, a written table, at most four bits apart, that connect all such pairs.
 
-def links(nodes: DataFrame, *, few: int = 2, broadcast_keys: int = 1_000_000) -> DataFrame:
-    """(a, b): pairs of the distinct values ``fp`` of ``nodes``, a written table, at most four bits apart, that connect all such pairs."""
+    The fuller keys, counted first, are broadcast if at most ``broadcast_keys`` of them (some 12 bytes each); beyond
+    that the join shuffles.
+    """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = nodes.select("fp").repartition(parts)  # a few bytes a row here, dozens of keys a row below
-    masks = key_masks(list(range(BITS)))
-    keys = nodes.select("fp", F.expr(f"posexplode(transform({_longs(masks)}, m -> fp & m)) AS (k, v)"))
-    small, full = _met(keys, few, broadcast_keys)
-    inner = [_longs([m | n for n in key_masks([b for b in range(BITS) if not m >> b & 1])]) for m in masks]
-    deeper = full.select("fp", F.expr(f"posexplode(transform(element_at(array({', '.join(inner)}), k + 1), m -> fp & m)) AS (j, v)"), "k")
-    smaller, fullest = _met(deeper.select((F.col("k") * len(masks) + F.col("j")).alias("k"), "v", "fp"), few, broadcast_keys)
-
-    def pairs(held: DataFrame) -> DataFrame:
-        a, b = held.select("k", "v", F.col("fp").alias("a")), held.select("k", "v", F.col("fp").alias("b"))
-        return a.join(b, (a.k == b.k) & (a.v == b.v) & F.expr(f"a < b AND {ring_test()}")).select("a", "b")
+    keys = nodes.select("fp", F.expr(f"posexplode(transform({_longs(key_masks(list(range(BITS))))}, m -> fp & m)) AS (k, v)"))
+    met = keys.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    met = written(met, "simhash-keys")
+    pairs = met.where(f"n = 2 AND {ring_test()}").select("a", "b")
 
     near = [0, *(1 << i for i in range(BITS)), *((1 << i) | (1 << j) for i in range(BITS) for j in range(i))]
-    around = fullest.select("fp").distinct().repartition(parts).select("fp", F.explode(F.expr(f"transform({_longs(near)}, m -> fp ^ m)")).alias("v"))
+    fuller = met.where("n > 2").select("k", "v")
+    fuller = F.broadcast(fuller) if fuller.count() <= broadcast_keys else fuller
+    dense = written(keys.join(fuller, ["k", "v"], "left_semi").select("fp").distinct(), "simhash-dense")
+    around = dense.repartition(parts).select("fp", F.explode(F.expr(f"transform({_longs(near)}, m -> fp ^ m)")).alias("v"))
     low = F.min("fp").over(Window.partitionBy("v"))  # a value has 2,081 neighbours at most
     stars = around.select(low.alias("a"), F.col("fp").alias("b")).where("a < b")
-    return pairs(small).unionAll(pairs(smaller)).unionAll(stars).distinct()
+    return pairs.unionAll(stars).distinct()
 
 
 def classes(prints: DataFrame, **options) -> DataFrame:
