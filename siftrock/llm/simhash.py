@@ -38,7 +38,7 @@ from .components import connected
 from .shared import free_name, sliced, written
 
 BITS, DIFFER, SEGMENTS = 64, 4, 8
-RING, MISSED, FEW = 256, 0.01, 64
+RING, MISSED, FEW = 256, 0.01, 8
 
 
 def fingerprint(text: str | None, words: int, seed: int = 42) -> int:

@@ -153,7 +153,7 @@ def test_similar_texts_against_all_pairs(spark):
     assert len(want) < 0.6 * len(texts)
 
 
-@pytest.mark.parametrize("few", [3, 64])
+@pytest.mark.parametrize("few", [3, 8, 64])
 def test_similar_texts_of_a_large_group(spark, monkeypatch, few):
     """A chain of copies whose ends are unlike each other, and others that share its arcs: all pairs, though one per key comes first."""
     monkeypatch.setattr(simhash, "FEW", few)
