@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftrock.functions.text import lines, severity
 from siftrock.operators import classify, entry_points, findings, joins, rules
+from siftrock.plans import planted
 from siftrock.sources.tables import document_files, table
 
 WORD = "[A-Za-z]+"
@@ -72,10 +73,10 @@ def glob_lenses(spark, d):
 
 
 def gated_tools(spark, d):
-    """Nations as tools that need their region's market segments among the customers' of that nation."""
-    customers = table(spark, d, "customer")
-    gates = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(F.lit("BUILDING"), F.lit("NONE"))).alias("need"))
-    found = customers.where("c_acctbal > 9900").select(F.col("c_mktsegment").alias("need"))
+    """Nations as tools that need a rich customer of their own in one of two market segments."""
+    own = lambda nation, segment: F.concat(F.col(nation).cast("string"), F.lit("/"), segment)
+    gates = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(own("n_nationkey", F.lit("BUILDING")), own("n_nationkey", F.lit("NONE")))).alias("need"))
+    found = table(spark, d, "customer").where("c_acctbal > 9500").select(own("c_nationkey", F.col("c_mktsegment")).alias("need"))
     return joins.gated(table(spark, d, "nation").select("n_nationkey", "n_name"), gates, found, "n_nationkey", "need")
 
 
@@ -218,7 +219,7 @@ _NAMES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _NAMES}
+    return {f.__name__: f for f in _NAMES} | planted.queries()
 
 
 LINES = """a AS (SELECT doc_id AS path, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
@@ -264,7 +265,7 @@ def oracle_sql() -> dict[str, str]:
         "undeclared_words": f"WITH {WORDS} SELECT word, min((path, line_no))[1] AS path, min((path, line_no))[2]::INT AS line_no, count(*) AS sites FROM words WHERE word NOT IN (SELECT unnest(regexp_extract_all(text, '{WORD}')) FROM benchmark) GROUP BY 1",
         "unused_words": f"WITH {WORDS}, d AS (SELECT unnest(regexp_extract_all(p_name, '{WORD}')) AS word FROM part UNION SELECT unnest(regexp_extract_all(text, '{WORD}')) FROM benchmark) SELECT word FROM d WHERE word NOT IN (SELECT word FROM words)",
         "glob_lenses": "SELECT doc_id AS path, source, lens FROM documents JOIN (VALUES ('first', 'src1*'), ('even', 'src*[02468]'), ('single', 'src?')) g(lens, pattern) ON source GLOB pattern",
-        "gated_tools": "SELECT n_nationkey, n_name, EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 9900 AND c_mktsegment IN ('BUILDING', 'NONE')) AS fires FROM nation",
+        "gated_tools": "SELECT n_nationkey, n_name, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9500 AND c_mktsegment IN ('BUILDING', 'NONE')) AS fires FROM nation",
         "parameter_drift": """WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS l, string_split(lower(p_type), ' ') AS r FROM part)
             SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: NOT list_contains(r, x)))), ',') AS missing, array_to_string(list_sort(list_distinct(list_filter(r, lambda x: NOT list_contains(l, x)))), ',') AS ghost FROM p""",
         "expanded_scenarios": """WITH f AS (SELECT n_nationkey, unnest([n_name, r_name]) AS family FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -293,4 +294,4 @@ def oracle_sql() -> dict[str, str]:
         "domain_evidence": "SELECT domain, count(*) AS n, min(doc_id) AS first FROM documents JOIN (VALUES ('mail', '[a-z]+@[a-z]+', 1), ('license', '[Ll]icense', 1), ('digits', '[0-9]{4,}', 3)) p(domain, pattern, least) ON regexp_matches(text, pattern) GROUP BY domain, least HAVING count(*) >= least",
         "source_breakdown": "WITH s AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2) SELECT source, string_agg(lang || ': ' || n || ' file' || CASE WHEN n = 1 THEN '' ELSE 's' END, ', ' ORDER BY n DESC, lang) AS parts FROM s GROUP BY 1",
         "json_fields": "SELECT (props->>'k')::INT AS k, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1",
-    }
+    } | planted.oracle_sql()
