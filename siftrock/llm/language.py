@@ -135,15 +135,14 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], *, width: int = 16, epoc
 
 def train(docs: DataFrame, *, train_rows: int = 2400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> LanguageModel:
     """A model from at most ``train_rows`` documents that aren't held out, shared out evenly between the languages."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(
-        F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")
-    )
-    sizes = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))  # no other column can clash
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").alias("_id"), "lang")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     n_langs = F.lit(max(1, sizes.count()))
     chance = F.abs(F.xxhash64("_id") % 1_000_003) / 1_000_003
-    ids = known.join(sizes, "_lang").where(chance <= 1.3 * train_rows / n_langs / F.col("_n"))
+    ids = known.join(sizes, "lang").where(chance <= 1.3 * train_rows / n_langs / F.col("n"))
     ids = ids.orderBy(F.xxhash64("_id"), "_id").select("_id").limit(train_rows).distinct()  # bounded, so it may be broadcast
-    some = docs.where(F.col(lang).isNotNull()).join(F.broadcast(ids), F.col(doc_id) == F.col("_id"), "left_semi")
+    some = docs.where(F.col("lang").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
 
     def features(batches):
         for batch in sliced(batches):
@@ -153,7 +152,7 @@ def train(docs: DataFrame, *, train_rows: int = 2400, doc_id: str = "doc_id", te
                 ["_id", "_lang", "b", "c"],
             )
 
-    rows = some.select(F.col(doc_id).cast("long"), F.col(text), F.col(lang)).mapInArrow(features, "_id long, _lang string, b array<int>, c array<int>")
+    rows = some.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(features, "_id long, _lang string, b array<int>, c array<int>")
     rows = sorted(rows.limit(2 * train_rows).collect(), key=lambda r: (r._id, r._lang, r.b))
     return fit([(r._lang, np.array(r.b, np.int64), np.array(r.c, float)) for r in rows], **options)
 

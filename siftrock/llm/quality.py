@@ -179,7 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 3000, doc_id:
         return (some if cut is None else some.where(F.xxhash64("_id") <= cut)).orderBy(F.xxhash64("_id"), "_id").limit(train_rows // 2)
 
     chosen = F.broadcast(smallest(marks.where("_y < 0.5"), counts.n0).unionAll(smallest(marks.where("_y >= 0.5"), counts.n1)))  # bounded by train_rows
-    some = docs.join(chosen, F.col(doc_id) == F.col("_id")).select("_id", "_y", F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))  # no other column can clash
+    some = texts.join(chosen, F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
 
     def encode(batches):
         for batch in sliced(batches):

@@ -38,6 +38,15 @@ def test_languages_of_texts_without_letters(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_training_beside_columns_of_any_name(spark):
+    rows = [(i, t, lang, 1, 2.0, "x", 3) for i, (t, lang) in enumerate([("wir gehen heute", "de"), ("we go today", "en")] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _id long, _y double, _lang string, _n int")
+    assert {r.lang_pred for r in language.identify(docs, language.train(docs)).collect()} == {"de", "en"}
+    labels = spark.createDataFrame([(i, i % 2, 9) for i in range(60)], "doc_id long, quality int, _id int")
+    assert quality.keep(docs, quality.train(docs, labels)).columns == docs.columns
+    assert language.identify(docs.limit(0), language.train(docs)).collect() == [] == quality.score(docs.limit(0), quality.train(docs, labels)).collect()
+
+
 def test_quality_held_out(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     rows = quality.op9(spark, DATA).collect()
