@@ -83,7 +83,7 @@ class Known(dict):
 
 
 class PieceEncoder:
-    def __init__(self, path: str, spaces: str = "whole", keep_bytes: int = 80_000_000):
+    def __init__(self, path: str, spaces: str = "whole", keep_bytes: int = 160_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
