@@ -38,7 +38,7 @@ from .components import connected
 from .shared import free_name, sliced, written
 
 BITS, DIFFER, SEGMENTS = 64, 4, 8
-RING, MISSED, FEW = 256, 0.01, 8
+RING, MISSED, FEW, FIRST = 256, 0.01, 8, 4
 
 
 def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
@@ -200,63 +200,62 @@ def arcs(n: int, similar: float, seed: int = 7) -> np.ndarray:
     return np.array(out[:many])
 
 
-def _meet(limit: int):
-    """Holds ``FEW`` rows beside a batch, however many a key has. Rows (key, node, f0) sorted by key -> (a, b, f0, big): all pairs of a key of at most ``FEW`` nodes, first words at most
-    ``limit`` bits apart. Of a key of more, every node b and its f0 with one of them, a, and the key as ``big``."""
-    names, odd = ["a", "b", "f0", "big"], np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+def _meet(limit: int, few: int, mark: bool):
+    """Rows (key, node, f0, root) sorted by key -> (a, b, big): pairs of other roots, first words at most ``limit`` bits apart; all of them under
+    a key of at most ``few`` nodes, under one of more only those with its first node. If ``mark``, such a key of several
+    roots is a row (null, null, key). Holds ``few`` rows beside a batch, however many a key has."""
 
-    def pairs(key, node, f):
+    def rows(a, b, big):
+        ends, keys = pa.nulls(len(a), pa.int64()), pa.nulls(len(big), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ((pa.array(a), keys), (pa.array(b), keys), (ends, pa.array(big)))], ["a", "b", "big"])
+
+    def listed(first, other, key):
+        """Pairs of rows (node, f0, root) at the same place; ``key``: of those under fuller keys, else None."""
+        differ = first[2] != other[2]
+        near = differ & (np.bitwise_count((first[1] ^ other[1]).view(np.uint64)) <= limit)
+        big = np.unique(key[differ]) if mark and key is not None else np.zeros(0, np.int64)
+        return rows(np.minimum(first[0], other[0])[near], np.maximum(first[0], other[0])[near], big)
+
+    def within(key, *row):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        left = np.repeat(starts + sizes, sizes) - np.arange(len(key))  # rows from here to the key's end
-        left[np.repeat(sizes > FEW, sizes)] = 0
-        for d in range(1, FEW):
+        at, size, of = np.arange(len(key)), np.repeat(sizes, sizes), np.repeat(starts, sizes)
+        i = np.flatnonzero((size > few) & (at > of))
+        yield listed([x[of[i]] for x in row], [x[i] for x in row], key[i])
+        left = np.where(size > few, 0, of + size - at)  # rows from here to the key's end
+        for d in range(1, few):
             i = np.flatnonzero(left > d)
             if not len(i):
                 break
-            i = i[np.bitwise_count((f[i] ^ f[i + d]).view(np.uint64)) <= limit]
-            a, b = node[i], node[i + d]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())], names)
-        for at, n in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
-            one = chosen(key[at], node[at : at + n])
-            yield star(one, key[at : at + n], node[at : at + n], f[at : at + n])
-
-    def chosen(key, some):
-        return some[np.argmin(some.view(np.uint64) * odd[int(key) & 3])]  # not the same one under every key
-
-    def star(one, key, node, f):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(node), one)), pa.array(node), pa.array(f), pa.array(key)], names)
+            yield listed([x[i] for x in row], [x[i + d] for x in row], None)
 
     def run(batches):
-        held, one, key = None, None, None  # the last key's rows so far; of a key of many only its one
+        held, first = [np.zeros(0, np.int64)] * 4, None  # the last key's rows so far; of a key of more than a few its first
         for batch in batches:
-            now = tuple(batch.column(c).to_numpy() for c in ("key", "node", "f0"))
-            if held is not None:
-                now, held = tuple(map(np.concatenate, zip(held, now))), None
-            if key is not None:
-                n = int(np.searchsorted(now[0], key, side="right"))
-                yield star(one, *(x[:n] for x in now))
-                now = tuple(x[n:] for x in now)
-            if not len(now[0]):
-                continue
-            cut, key = int(np.searchsorted(now[0], now[0][-1])), None
-            yield from pairs(*(x[:cut] for x in now))
-            held = tuple(x[cut:] for x in now)
-            if len(held[0]) > FEW:
-                key, one = held[0][0], chosen(held[0][0], held[1])
-                yield star(one, *held)
-                held = None
-        if held is not None:
-            yield from pairs(*held)
+            now = [np.concatenate(x) for x in zip(held, (batch.column(c).to_numpy() for c in ("key", "node", "f0", "root")), strict=True)]
+            held = [x[:0] for x in now]
+            if first is not None:
+                n = int(np.searchsorted(now[0], first[0], side="right"))
+                yield listed([np.full(n, x) for x in first[1:]], [x[:n] for x in now[1:]], now[0][:n])
+                now = [x[n:] for x in now]
+            if len(now[0]):
+                cut, first = int(np.searchsorted(now[0], now[0][-1])), None
+                yield from within(*(x[:cut] for x in now))
+                held = [x[cut:] for x in now]
+                if len(held[0]) > few:
+                    yield from within(*held)
+                    first, held = [x[0] for x in held], [x[:0] for x in held]
+        yield from within(*held)
 
     return run
 
 
-def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar: float, text: str = "text", broadcast_keys: int = 1_000_000) -> DataFrame:
+def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar: float, doc_id: str = "doc_id", text: str = "text", broadcast_keys: int = 1_000_000) -> DataFrame:
     """(node, root, component_id) for every distinct node of ``prints``, the written ``rings`` of ``docs``.
 
     Links are the pairs that share an arc, lie within the bit budget and have that Jaccard similarity of distinct
-    shingles. Under a key of many nodes all are compared with one first; then, once linked, those outside
+    shingles. What ``FIRST`` arcs link each to one node of its key are groups of copies; under all arcs, only pairs of
+    nodes that this left apart are listed. Under a key of many nodes these are compared with one first; then, once linked, those outside
     the key's largest component with all that are not in theirs. This finds the same components as all pairs.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -264,16 +263,26 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
     masks, quarter, whole = arcs(nodes.count(), similar), bit_budget(similar, 64, 4.5), bit_budget(similar, RING, 3)
     odd = np.random.default_rng(3).integers(1 << 62, size=(len(masks), 5), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def keyed(batches):
-        for batch in batches:
-            f = np.stack([batch.column(f"f{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
-            for m, o in zip(masks, odd, strict=True):
-                key = ((f & m) * o[:4]).sum(1, dtype=np.uint64) + o[4]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("node"), batch.column("f0")], ["key", "node", "f0"])
+    def keys(roots: DataFrame | None, many: int) -> DataFrame:
+        """(key, node, f0, root) of the first ``many`` arcs; without ``roots`` every node is its own."""
 
-    keys = nodes.select("node", "f0", "f1", "f2", "f3").repartition(parts).mapInArrow(keyed, "key long, node long, f0 long")
-    met = keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(quarter), "a long, b long, f0 long, big long")
-    met = written(met, "ring-pairs")
+        def run(batches):
+            for batch in batches:
+                f = np.stack([batch.column(f"f{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
+                for m, o in zip(masks[:many], odd[:many], strict=True):
+                    key = ((f & m) * o[:4]).sum(1, dtype=np.uint64) + o[4]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c) for c in ("node", "f0", "root"))], ["key", "node", "f0", "root"])
+
+        return rooted(roots).select("node", "f0", "f1", "f2", "f3", "root").repartition(parts).mapInArrow(run, "key long, node long, f0 long, root long")
+
+    def rooted(roots: DataFrame | None) -> DataFrame:
+        if roots is None:
+            return nodes.withColumn("root", F.col("node"))
+        return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def meet(some: DataFrame, few: int, mark: bool) -> DataFrame:
+        sorted_ = some.repartition(parts, "key").sortWithinPartitions("key", "node")
+        return written(sorted_.mapInArrow(_meet(quarter, few, mark), "a long, b long, big long"), "ring-pairs")
 
     def texts(batches):
         for batch in sliced(batches):
@@ -299,26 +308,32 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
         apart = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(4))
         near = pairs.where("a != b").distinct().join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {whole}").select("a", "b")
         near = written(near, "ring-near")
-        needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
+        needed = written(needed, "ring-needed")
         needed = F.broadcast(needed) if needed.count() <= broadcast_keys else needed
-        known = docs.select(F.col(text).alias("text")).mapInArrow(texts, "node long, text string").join(needed, "node", "left_semi")
+        some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        some = some.join(needed, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")  # so that only these texts are hashed again
+        known = some.select("text").mapInArrow(texts, "node long, text string").join(needed.select("node"), "node", "left_semi")
         known = written(known.groupBy("node").agg(F.any_value("text").alias("text")), "ring-texts")
         ta, tb = (known.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         return written(near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long"), "ring-links")
 
-    linked = checked(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    roots = connected(linked)
-    if met.where("big IS NOT NULL").limit(1).count():
-        held = met.where("big IS NOT NULL").select("big", F.col("b").alias("node"), "f0").join(roots, "node", "left")
-        held = written(held.withColumn("root", F.coalesce("root", "node")), "ring-held")
-        most = held.groupBy("big", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("big").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-        other = held.join(most, "big").where("root != most").select("big", F.col("node").alias("x"), F.col("f0").alias("fx"), F.col("root").alias("rx"))
-        more = other.join(held, "big").where(f"root != rx AND bit_count(f0 ^ fx) <= {quarter}")
+    linked = checked(meet(keys(None, FIRST), 1, False).select("a", "b"))
+    met = meet(keys(connected(linked), len(masks)), FEW, True)
+    linked = linked.unionAll(checked(met.where("a IS NOT NULL").select("a", "b")))
+    roots = written(connected(linked), "ring-roots")
+    fuller = written(met.where("big IS NOT NULL").select(F.col("big").alias("key")).distinct(), "ring-fuller")
+    many = fuller.count()
+    if many:
+        held = written(keys(roots, len(masks)).join(F.broadcast(fuller) if many <= broadcast_keys else fuller, "key", "left_semi"), "ring-held")
+        most = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+        other = held.join(most, "key").where("root != most").select("key", F.col("node").alias("x"), F.col("f0").alias("fx"), F.col("root").alias("rx"))
+        more = other.join(held, "key").where(f"root != rx AND bit_count(f0 ^ fx) <= {quarter}")
         more = checked(more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
         roots = connected(linked.unionAll(more))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("node", "root", "component_id")
+    out = rooted(roots)
+    ids = out.groupBy("root").agg(F.min("least").alias("component_id"))
+    return out.join(ids, "root").select("node", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similar: float | None = None, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -334,7 +349,7 @@ def keep_one(docs: DataFrame, *, words: int = 5, similar: float | None = None, d
         key_of = lambda t: _signed(fingerprint(t, words))
     else:
         prints = written(rings(docs, words=words, doc_id=doc_id, text=text), "rings")
-        found = prints.join(similar_classes(docs, prints, words=words, similar=similar, text=text, **options), "node").select("doc_id", F.col("node").alias("_key"), "root")
+        found = prints.join(similar_classes(docs, prints, words=words, similar=similar, doc_id=doc_id, text=text, **options), "node").select("doc_id", F.col("node").alias("_key"), "root")
         key_of = lambda t: node(_words(t))
     found = found.where("doc_id IS NOT NULL").groupBy("root", "doc_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
     stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "_key", "_n")).alias("s"))
