@@ -201,8 +201,8 @@ def arcs(n: int, similar: float, seed: int = 7) -> np.ndarray:
 
 
 def _meet(limit: int, few: int, mark: bool):
-    """Rows (key, node, f0, root) sorted by key -> (a, b, big): pairs of other roots, first words at most ``limit`` bits apart; all of them under
-    a key of at most ``few`` nodes, under one of more only those with its first node. If ``mark``, such a key of several
+    """Rows (key, node, f0, root) sorted by key and node -> (a, b, big): pairs of other roots, first words at most ``limit`` bits apart; all of them under
+    a key of at most ``few`` nodes, under one of more only those with one in their middle (of those that a batch holds). If ``mark``, such a key of several
     roots is a row (null, null, key). Holds ``few`` rows beside a batch, however many a key has."""
 
     def rows(a, b, big):
@@ -216,12 +216,21 @@ def _meet(limit: int, few: int, mark: bool):
         big = np.unique(key[differ]) if mark and key is not None else np.zeros(0, np.int64)
         return rows(np.minimum(first[0], other[0])[near], np.maximum(first[0], other[0])[near], big)
 
+    def middle(f):
+        """The place of the one nearest the majority of each bit: of copies with changes of their own, the one that they are copies of."""
+        bits = np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1)
+        most = np.packbits(2 * bits.sum(0) > len(f)).view(np.int64)
+        return int(np.argmin(np.bitwise_count((f ^ most).view(np.uint64))))
+
     def within(key, *row):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         at, size, of = np.arange(len(key)), np.repeat(sizes, sizes), np.repeat(starts, sizes)
-        i = np.flatnonzero((size > few) & (at > of))
-        yield listed([x[of[i]] for x in row], [x[i] for x in row], key[i])
+        one = of.copy()
+        for start, n in zip(starts[sizes > max(few, 2)], sizes[sizes > max(few, 2)], strict=True):
+            one[start : start + n] = start + middle(row[1][start : start + n])
+        i = np.flatnonzero((size > few) & (at != one))
+        yield listed([x[one[i]] for x in row], [x[i] for x in row], key[i])
         left = np.where(size > few, 0, of + size - at)  # rows from here to the key's end
         for d in range(1, few):
             i = np.flatnonzero(left > d)
@@ -244,7 +253,8 @@ def _meet(limit: int, few: int, mark: bool):
                 held = [x[cut:] for x in now]
                 if len(held[0]) > few:
                     yield from within(*held)
-                    first, held = [x[0] for x in held], [x[:0] for x in held]
+                    one = middle(held[2])
+                    first, held = [x[one] for x in held], [x[:0] for x in held]
         yield from within(*held)
 
     return run
