@@ -24,7 +24,6 @@ other. Repeated ids and rows keep a row each. A null id is never a component's i
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -294,21 +293,21 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
         sorted_ = some.repartition(parts, "key").sortWithinPartitions("key", "node")
         return written(sorted_.mapInArrow(_meet(quarter, few, mark), "a long, b long, big long"), "ring-pairs")
 
-    def texts(batches):
+    def hashed(batches):
         for batch in sliced(batches):
-            t = batch.column("text")
-            yield pa.RecordBatch.from_arrays([pa.array([node(_words(x)) for x in t.to_pylist()], pa.int64()), t], ["node", "text"])
+            nodes, found = [], []
+            for t in batch.column("text").to_pylist():  # a text's words at a time; eight bytes a shingle stay
+                w = _words(t)
+                some = shingles(w, words)
+                nodes.append(node(w))
+                found.append(np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x, 7) for x in some), np.uint64, len(some))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "held"])
 
     def alike(batches):
-        def hashed(t):
-            some = shingles(_words(t), words)
-            return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x, 7) for x in some), np.uint64, len(some)))
-
-        of = lru_cache(16)(hashed)  # eight bytes a shingle
         for batch in sliced(batches, 32):
-            keep = []
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                x, y = of(x), of(y)
+            keep, sides = [], [batch.column(c) for c in ("ha", "hb")]
+            for i in range(batch.num_rows):
+                x, y = (side[i].values.to_numpy() for side in sides)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -323,10 +322,10 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
         needed = F.broadcast(needed) if needed.count() <= broadcast_keys else needed
         some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         some = some.join(needed, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")  # so that only these texts are hashed again
-        known = some.select("text").mapInArrow(texts, "node long, text string").join(needed.select("node"), "node", "left_semi")
-        known = written(known.groupBy("node").agg(F.any_value("text").alias("text")), "ring-texts")
-        ta, tb = (known.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        return written(near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(alike, "a long, b long"), "ring-links")
+        known = some.select("text").mapInArrow(hashed, "node long, held array<long>").join(needed.select("node"), "node", "left_semi")
+        known = written(known.groupBy("node").agg(F.any_value("held").alias("held")), "ring-shingles")
+        ha, hb = (known.select(F.col("node").alias(c), F.col("held").alias(f"h{c}")) for c in "ab")
+        return written(near.join(ha, "a").join(hb, "b").select("a", "b", "ha", "hb").mapInArrow(alike, "a long, b long"), "ring-links")
 
     linked = checked(meet(keys(None, FIRST), 1, False).select("a", "b"))
     met = meet(keys(connected(linked), len(masks)), FEW, True)
