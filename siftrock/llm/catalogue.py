@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fim, language, neighbours, packing, pii, quality, simhash, tiling, token_files, url_reputation, warc
+from . import fim, language, neighbours, packing, pii, prefix_trie, quality, simhash, tiling, token_files, url_reputation, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_personal_data": pii.op8,
         "op9_attention_quality": quality.op9,
         "op10_url_reputation": url_reputation.op10,
+        "op11_conversation_trie": prefix_trie.op11,
         "op12_fill_in_middle": fim.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_archives": warc.ORACLE, "op10_url_reputation": url_reputation.ORACLE, "op12_fill_in_middle": fim.ORACLE}
+    return {"op5_warc_archives": warc.ORACLE, "op10_url_reputation": url_reputation.ORACLE, "op11_conversation_trie": prefix_trie.ORACLE, "op12_fill_in_middle": fim.ORACLE}
