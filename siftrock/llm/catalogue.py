@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fim, language, neighbours, packing, pii, prefix_trie, quality, simhash, tiling, token_files, url_reputation, warc
+from . import fim, language, neighbours, packing, pii, prefix_trie, quality, set_join, simhash, tiling, token_files, url_reputation, warc
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_url_reputation": url_reputation.op10,
         "op11_conversation_trie": prefix_trie.op11,
         "op12_fill_in_middle": fim.op12,
+        "op13_set_join": set_join.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_archives": warc.ORACLE, "op10_url_reputation": url_reputation.ORACLE, "op11_conversation_trie": prefix_trie.ORACLE, "op12_fill_in_middle": fim.ORACLE}
+    return {"op5_warc_archives": warc.ORACLE, "op10_url_reputation": url_reputation.ORACLE, "op11_conversation_trie": prefix_trie.ORACLE, "op12_fill_in_middle": fim.ORACLE, "op13_set_join": set_join.ORACLE}
