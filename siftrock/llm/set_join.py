@@ -45,9 +45,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text; of fewer words, of all as one."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only; splits at \x20 and \x09-\x0D
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only; splits at \x20 and \x09-\x0D
+
+
+def hashes(w: list[bytes], words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text's words; of fewer words, of all as one."""
     if not w:
         return np.zeros(0, np.uint64)
     out, n = xxhash.xxh64_intdigest, min(words, len(w))
@@ -111,9 +114,10 @@ def band_keys(h: np.ndarray, mixed: np.ndarray, number: int, segments: int, neig
     return keys
 
 
-def parities(mixed: np.ndarray) -> bytes:
-    """Of the shingles in each of ``PARITIES`` parts of the universe."""
-    return np.packbits(np.bincount((mixed >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+def parities(mixed: np.ndarray, parts: int = PARITIES) -> bytes:
+    """Of the shingles in each of so many parts (a power of two) of the universe."""
+    of = (mixed >> np.uint64(65 - parts.bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(of, minlength=parts) & 1).tobytes()
 
 
 def signature(h: np.ndarray, percent: int, sets: int, bits_per_shingle: float) -> tuple:
@@ -144,7 +148,7 @@ def prints(docs: DataFrame, *, words: int, percent: int, sets: int, bits_per_shi
         for batch in sliced(batches):
             rows = []
             for t in batch.column("text").to_pylist():
-                h = shingles(t, words)
+                h = hashes(split(t), words)
                 some = signature(h, percent, sets, bits_per_shingle) if len(h) else (None, h, h, 0, 0)
                 rows.append((node(h), len(h), *some))
             nodes, n, bits, home, visit, t, u = zip(*rows)
@@ -164,7 +168,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in sliced(batches):
-            some = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            some = [hashes(split(t), words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(node, some), pa.int64()), _lists(some)], ["node", "grams"])
 
     texts = docs.select("said", "text").join(nodes.select("said").distinct(), "said", "left_semi").select("text")
@@ -209,7 +213,7 @@ def blocks_of(batches, by: list[str], columns: list[str]):
 
     def members(some: pa.Table) -> Members:
         out = {c: some.column(c).to_numpy() for c in columns if c != "bits"}
-        out["bits"] = np.frombuffer(b"".join(some.column("bits").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+        out["bits"] = np.frombuffer(b"".join(some.column("bits").to_pylist()), np.uint64).reshape(some.num_rows, -1)
         return Members(**out)
 
     held = []
@@ -270,37 +274,51 @@ def between(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets reach the threshold."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, similar: float | None = None) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets reach the threshold, or ``similar`` where it is no whole percentage."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return two.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    any_ = F.size("x") + F.size("y") - both
+    return two.where(100 * both >= percent * any_ if similar is None else both >= similar * any_ - 1e-9).select("a", "b")
 
 
-def roots_of(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int) -> DataFrame:
-    """(node, root) of the linked ones of ``nodes``, the distinct sets of ``docs``."""
+def in_blocks(members: DataFrame) -> DataFrame:
+    """``members`` of keys (key, node, size and others) with the block of each and how many their key has."""
     parts = F.ceil(F.col("size") / MEMBERS).cast("int")
-    members = shared_keys(nodes).join(nodes.select("node", "said", "n", "weight", "bits"), "node")
-    members = written(members.withColumns({"blocks": parts, "block": F.pmod(F.xxhash64("node"), parts).cast("int")}), "sets-members")
-    sets = written(sets_of(docs, members, words), "sets-grams")
+    return members.withColumns({"blocks": parts, "block": F.pmod(F.xxhash64("node"), parts).cast("int")})
+
 
+def pairs_with_middles(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members in blocks: each with one in the middle of its block, and all of a key's blocks with one of its most frequent sets."""
     row = ["key", "block", "node", "n", "at_home", "weight", "bits"]
     large = members.where("blocks > 1")
-    first = large.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("first")).select("key", F.col("first.node").alias("node"))  # one for all blocks of a key
+    first = large.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("first")).select("key", F.col("first.node").alias("node"))
     first = large.join(first, ["key", "node"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
     rows = members.select(*row).unionAll(first.withColumn("block", F.col("other")).select(*row))
     rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
-    tried = written(rows.mapInArrow(middles(percent), "a long, b long").distinct(), "sets-pairs")
-    links = written(verified(tried, sets, percent), "sets-links")
+    return rows.mapInArrow(middles(percent), "a long, b long").distinct()
 
-    rooted = members.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted.drop("weight", "said"), "sets-rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+
+def pairs_between(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members in blocks that have a root: all that may be linked and aren't of one root, block by block."""
+    several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rooted.join(several, "key", "left_semi").withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = members.join(several, "key", "left_semi").withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     rows = rows.select("key", "i", "j", "block", "node", "n", "at_home", "root", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    left = rows.mapInArrow(between(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    return rows.mapInArrow(between(percent), "a long, b long").distinct()
+
+
+def roots_of(docs: DataFrame, nodes: DataFrame, *, words: int, percent: int) -> DataFrame:
+    """(node, root) of the linked ones of ``nodes``, the distinct sets of ``docs``."""
+    members = shared_keys(nodes).join(nodes.select("node", "said", "n", "weight", "bits"), "node")
+    members = written(in_blocks(members), "sets-members")
+    sets = written(sets_of(docs, members, words), "sets-grams")
+    tried = written(pairs_with_middles(members, percent), "sets-pairs")
+    links = written(verified(tried, sets, percent), "sets-links")
+    rooted = members.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted.drop("weight", "said"), "sets-rooted")
+    left = pairs_between(rooted, percent).join(tried, ["a", "b"], "left_anti")
     more = written(verified(written(left, "sets-pairs"), sets, percent), "sets-links")
     return connected(links.unionAll(more))
 

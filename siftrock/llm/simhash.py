@@ -15,7 +15,7 @@ Word shingles ask for more: at a Jaccard similarity of 0.8 two SimHashes differ
 keys of whole segments can promise. ``similar_classes`` takes a ring of 256 bits from distinct shingles and looks up
 arcs of it, in several orders of the bits, so many that a pair just at the threshold shares an arc with a probability
 of 0.99; what meets within the ring's budget of bits is checked by the 64-bit hashes of its shingles. Recall is that of the arcs and the
-budget.
+budget. Nodes under one arc are compared where they are, without a row for each pair (see ``set_join``).
 
 Defined results: a null text is an empty one; without words the fingerprint is zero and is linked like any
 other. Repeated ids and rows keep a row each. A null id is never a component's id unless no member has another.
@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from . import set_join
 from .components import connected
 from .shared import free_name, sliced, written
 
 BITS, DIFFER, SEGMENTS = 64, 4, 8
-RING, MISSED, FEW, FIRST = 256, 0.01, 8, 4
+RING, MISSED, FEW, FIRST, PARITIES = 256, 0.01, 64, 4, 512
+RING_SEEDS = (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
@@ -136,12 +138,6 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, doc_id: str = "doc_id",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles(w: list[bytes], words: int) -> set[bytes]:
-    if not w:
-        return set()
-    return {b" ".join(w)} if len(w) < words else set(map(b" ".join, zip(*(w[i:] for i in range(words)))))
-
-
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -151,31 +147,34 @@ def node(w: list[bytes]) -> int:
     return _signed(xxhash.xxh3_64_intdigest(b" ".join(w), 42))
 
 
-def ring(some: set[bytes]) -> np.ndarray:
-    """The SimHash of a set in 256 bits, as four words. It doesn't depend on the set's order."""
-    out, counts, some = xxhash.xxh3_128_digest, np.zeros(RING, np.int64), list(some)
-    for at in range(0, len(some), 255):  # so few that a byte holds each count
-        bits = b"".join(out(s, 1) + out(s, 2) for s in some[at : at + 255])
-        counts += np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, RING // 8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(some), bitorder="little").view("<u8")
+def ring(h: np.ndarray) -> np.ndarray:
+    """The SimHash in 256 bits of a set, given by the hashes of its members, as four words."""
+    counts = np.zeros(RING, np.int64)
+    for at in range(0, len(h), 1 << 14):  # a bounded bit matrix
+        some = np.stack([set_join.mix(h[at : at + (1 << 14)] ^ np.uint64(seed)) for seed in RING_SEEDS], 1).astype("<u8")
+        counts += np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")
 
 
 def rings(docs: DataFrame, *, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, node, f0, f1, f2, f3)."""
+    """(doc_id, node, n, bits, f0, f1, f2, f3): a text's node, the size of its set of shingles, the set's parities and ring."""
 
     def run(batches):
         for batch in sliced(batches):
-            f, nodes = np.zeros((batch.num_rows, 4), np.uint64), []
+            f, nodes, n, bits = np.zeros((batch.num_rows, 4), np.uint64), [], [], []
             for i, t in enumerate(batch.column("text").to_pylist()):  # a text's words at a time
                 w = _words(t)
-                f[i] = ring(shingles(w, words))
+                h = set_join.hashes(w, words)
+                f[i] = ring(h)
                 nodes.append(node(w))
+                n.append(len(h))
+                bits.append(set_join.parities(set_join.mix(h), PARITIES))
             f = f.view(np.int64)
-            cols = [batch.column("doc_id"), pa.array(nodes, pa.int64()), *(pa.array(f[:, i].copy()) for i in range(4))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "f0", "f1", "f2", "f3"])
+            cols = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), *(pa.array(f[:, i].copy()) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "bits", "f0", "f1", "f2", "f3"])
 
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return some.mapInArrow(run, "doc_id long, node long, f0 long, f1 long, f2 long, f3 long")
+    return some.mapInArrow(run, "doc_id long, node long, n int, bits binary, f0 long, f1 long, f2 long, f3 long")
 
 
 def bit_budget(similar: float, bits: int, spread: float) -> int:
@@ -199,62 +198,43 @@ def arcs(n: int, similar: float, seed: int = 7) -> np.ndarray:
     return np.array(out[:many])
 
 
-def _meet(limit: int, few: int, mark: bool):
-    """Rows (key, node, f0, root) sorted by key and node -> (a, b, big): pairs of other roots, first words at most ``limit`` bits apart; all of them under
-    a key of at most ``few`` nodes, under one of more only those with one in their middle (of those that a batch holds). If ``mark``, such a key of several
-    roots is a row (null, null, key). Holds ``few`` rows beside a batch, however many a key has."""
-
-    def rows(a, b, big):
-        ends, keys = pa.nulls(len(a), pa.int64()), pa.nulls(len(big), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ((pa.array(a), keys), (pa.array(b), keys), (ends, pa.array(big)))], ["a", "b", "big"])
+def _partners(limit: int, few: int):
+    """Rows (key, node, f0, root) sorted by key -> (key, node): those that have another of their key with another root, first words at most
+    ``limit`` bits apart. Under a key of more than ``few`` nodes all stay. Holds ``few`` rows beside a batch, however many a key has."""
 
-    def listed(first, other, key):
-        """Pairs of rows (node, f0, root) at the same place; ``key``: of those under fuller keys, else None."""
-        differ = first[2] != other[2]
-        near = differ & (np.bitwise_count((first[1] ^ other[1]).view(np.uint64)) <= limit)
-        big = np.unique(key[differ]) if mark and key is not None else np.zeros(0, np.int64)
-        return rows(np.minimum(first[0], other[0])[near], np.maximum(first[0], other[0])[near], big)
+    def rows(key, node):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
-    def middle(f):
-        """The place of the one nearest the majority of each bit: of copies with changes of their own, the one that they are copies of."""
-        bits = np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1)
-        most = np.packbits(2 * bits.sum(0) > len(f)).view(np.int64)
-        return int(np.argmin(np.bitwise_count((f ^ most).view(np.uint64))))
-
-    def within(key, *row):
+    def within(key, node, f0, root):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        at, size, of = np.arange(len(key)), np.repeat(sizes, sizes), np.repeat(starts, sizes)
-        one = of.copy()
-        for start, n in zip(starts[sizes > max(few, 2)], sizes[sizes > max(few, 2)], strict=True):
-            one[start : start + n] = start + middle(row[1][start : start + n])
-        i = np.flatnonzero((size > few) & (at != one))
-        yield listed([x[one[i]] for x in row], [x[i] for x in row], key[i])
-        left = np.where(size > few, 0, of + size - at)  # rows from here to the key's end
+        size = np.repeat(sizes, sizes)
+        left, keep = np.repeat(starts + sizes, sizes) - np.arange(len(key)), size > few  # rows from here to the key's end
         for d in range(1, few):
-            i = np.flatnonzero(left > d)
+            i = np.flatnonzero((left > d) & (size <= few))
             if not len(i):
                 break
-            yield listed([x[i] for x in row], [x[i + d] for x in row], None)
+            i = i[(root[i] != root[i + d]) & (np.bitwise_count((f0[i] ^ f0[i + d]).view(np.uint64)) <= limit)]
+            keep[i] = keep[i + d] = True
+        return rows(key[keep], node[keep])
 
     def run(batches):
-        held, first = [np.zeros(0, np.int64)] * 4, None  # the last key's rows so far; of a key of more than a few its first
+        held, full = [np.zeros(0, np.int64)] * 4, None  # the last key's rows so far; of a key of more than a few none
         for batch in batches:
             now = [np.concatenate(x) for x in zip(held, (batch.column(c).to_numpy() for c in ("key", "node", "f0", "root")), strict=True)]
             held = [x[:0] for x in now]
-            if first is not None:
-                n = int(np.searchsorted(now[0], first[0], side="right"))
-                yield listed([np.full(n, x) for x in first[1:]], [x[:n] for x in now[1:]], now[0][:n])
+            if full is not None:
+                n = int(np.searchsorted(now[0], full, side="right"))
+                yield rows(now[0][:n], now[1][:n])
                 now = [x[n:] for x in now]
             if len(now[0]):
-                cut, first = int(np.searchsorted(now[0], now[0][-1])), None
-                yield from within(*(x[:cut] for x in now))
+                cut, full = int(np.searchsorted(now[0], now[0][-1])), None
+                yield within(*(x[:cut] for x in now))
                 held = [x[cut:] for x in now]
                 if len(held[0]) > few:
-                    yield from within(*held)
-                    one = middle(held[2])
-                    first, held = [x[one] for x in held], [x[:0] for x in held]
-        yield from within(*held)
+                    yield rows(held[0], held[1])
+                    full, held = held[0][0], [x[:0] for x in held]
+        yield within(*held)
 
     return run
 
@@ -263,13 +243,15 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
     """(node, root, component_id) for every distinct node of ``prints``, the written ``rings`` of ``docs``.
 
     Links are the pairs that share an arc, lie within the bit budget and have that Jaccard similarity of distinct
-    shingles. What ``FIRST`` arcs link each to one node of its key are groups of copies; under all arcs, only pairs of
-    nodes that this left apart are listed. Under a key of many nodes these are compared with one first; then, once linked, those outside
-    the key's largest component with all that are not in theirs. This finds the same components as all pairs.
+    shingles. What ``FIRST`` arcs link with one in the middle of its key are groups of copies; under all arcs only nodes that this left apart meet. They are
+    compared in the task that holds a block of their key's members, by parities that never overstate how sets differ, so
+    that pairs become rows only if they are likely links; this finds the same components as all pairs.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(f"f{i}").alias(f"f{i}") for i in range(4)]), "ring-nodes")
-    masks, quarter, whole = arcs(nodes.count(), similar), bit_budget(similar, 64, 4.5), bit_budget(similar, RING, 3)
+    whole, percent = bit_budget(similar, RING, 3), math.floor(100 * similar + 1e-9)
+    same = [F.min(c).alias(c) for c in ("n", "bits", *(f"f{i}" for i in range(4)))]  # in all rows of a node
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("weight"), *same), "ring-nodes")
+    masks, quarter = arcs(nodes.count(), similar), bit_budget(similar, 64, 4.5)
     odd = np.random.default_rng(3).integers(1 << 62, size=(len(masks), 5), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def keys(roots: DataFrame | None, many: int) -> DataFrame:
@@ -282,65 +264,43 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
                     key = ((f & m) * o[:4]).sum(1, dtype=np.uint64) + o[4]
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c) for c in ("node", "f0", "root"))], ["key", "node", "f0", "root"])
 
-        return rooted(roots).select("node", "f0", "f1", "f2", "f3", "root").repartition(parts).mapInArrow(run, "key long, node long, f0 long, root long")
+        return rooted(nodes, roots).select("node", "f0", "f1", "f2", "f3", "root").repartition(parts).mapInArrow(run, "key long, node long, f0 long, root long")
 
-    def rooted(roots: DataFrame | None) -> DataFrame:
+    def rooted(some: DataFrame, roots: DataFrame | None) -> DataFrame:
         if roots is None:
-            return nodes.withColumn("root", F.col("node"))
-        return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            return some.withColumn("root", F.col("node"))
+        return some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def meet(some: DataFrame, few: int, mark: bool) -> DataFrame:
-        sorted_ = some.repartition(parts, "key").sortWithinPartitions("key", "node")
-        return written(sorted_.mapInArrow(_meet(quarter, few, mark), "a long, b long, big long"), "ring-pairs")
+    def members(roots: DataFrame | None, many: int) -> DataFrame:
+        """The nodes that have a partner of another root under one of the first ``many`` arcs, in blocks of their keys."""
+        met = keys(roots, many).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_partners(quarter, FEW), "key long, node long")
+        met = written(met, "ring-met").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        some = rooted(nodes.select("node", "n", "weight", "bits"), roots)
+        return written(set_join.in_blocks(met.join(some, "node")).withColumn("at_home", F.lit(True)), "ring-members")
 
     def hashed(batches):
         for batch in sliced(batches):
-            nodes, found = [], []
-            for t in batch.column("text").to_pylist():  # a text's words at a time; eight bytes a shingle stay
-                w = _words(t)
-                some = shingles(w, words)
-                nodes.append(node(w))
-                found.append(np.unique(np.fromiter((xxhash.xxh3_64_intdigest(x, 7) for x in some), np.uint64, len(some))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "held"])
-
-    def alike(batches):
-        for batch in sliced(batches, 32):
-            keep, sides = [], [batch.column(c) for c in ("ha", "hb")]
-            for i in range(batch.num_rows):
-                x, y = (side[i].values.to_numpy() for side in sides)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similar * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = [_words(t) for t in batch.column("text").to_pylist()]
+            sets = [set_join.hashes(w, words).view(np.int64) for w in found]
+            yield pa.RecordBatch.from_arrays([pa.array(map(node, found), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
     def checked(pairs: DataFrame) -> DataFrame:
         side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(f"f{i}").alias(f"{c}{i}") for i in range(4)])
         apart = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(4))
-        near = pairs.where("a != b").distinct().join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {whole}").select("a", "b")
-        near = written(near, "ring-near")
-        needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
+        near = written(pairs.join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {whole}").select("a", "b"), "ring-near")
+        needed = near.select("a").unionAll(near.select("b")).distinct().toDF("node").join(nodes.select("node", "least"), "node")
         needed = written(needed, "ring-needed")
         needed = F.broadcast(needed) if needed.count() <= broadcast_keys else needed
         some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         some = some.join(needed, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")  # so that only these texts are hashed again
-        known = some.select("text").mapInArrow(hashed, "node long, held array<long>").join(needed.select("node"), "node", "left_semi")
-        known = written(known.groupBy("node").agg(F.any_value("held").alias("held")), "ring-shingles")
-        ha, hb = (known.select(F.col("node").alias(c), F.col("held").alias(f"h{c}")) for c in "ab")
-        return written(near.join(ha, "a").join(hb, "b").select("a", "b", "ha", "hb").mapInArrow(alike, "a long, b long"), "ring-links")
-
-    linked = checked(meet(keys(None, FIRST), 1, False).select("a", "b"))
-    met = meet(keys(connected(linked), len(masks)), FEW, True)
-    linked = linked.unionAll(checked(met.where("a IS NOT NULL").select("a", "b")))
-    roots = written(connected(linked), "ring-roots")
-    fuller = written(met.where("big IS NOT NULL").select(F.col("big").alias("key")).distinct(), "ring-fuller")
-    many = fuller.count()
-    if many:
-        held = written(keys(roots, len(masks)).join(F.broadcast(fuller) if many <= broadcast_keys else fuller, "key", "left_semi"), "ring-held")
-        most = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-        other = held.join(most, "key").where("root != most").select("key", F.col("node").alias("x"), F.col("f0").alias("fx"), F.col("root").alias("rx"))
-        more = other.join(held, "key").where(f"root != rx AND bit_count(f0 ^ fx) <= {quarter}")
-        more = checked(more.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
-        roots = connected(linked.unionAll(more))
-    out = rooted(roots)
+        known = some.select("text").mapInArrow(hashed, "node long, grams array<long>").join(needed.select("node"), "node", "left_semi")
+        known = written(known.dropDuplicates(["node"]), "ring-shingles")
+        return written(set_join.verified(near, known, percent, similar), "ring-links")
+
+    linked = checked(set_join.pairs_with_middles(members(None, FIRST), percent))
+    apart = members(written(connected(linked), "ring-roots"), len(masks))
+    roots = connected(linked.unionAll(checked(set_join.pairs_between(apart, percent))))
+    out = rooted(nodes, roots)
     ids = out.groupBy("root").agg(F.min("least").alias("component_id"))
     return out.join(ids, "root").select("node", "root", "component_id")
 
