@@ -10,26 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FUNCTIONS = "path string, line_no int, name string, length int, params int, branches int, depth int, documented boolean"
-_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Assert, ast.match_case)
-_NESTED = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith)
-_OWN = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)
+# ---- fixed values: what branches, and what nests
 
+BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.With, ast.AsyncWith, ast.Match)
 
-def _inside(node):
-    """The nodes of a function's body with their depth; definitions within are another's."""
-    todo = [(child, 0) for child in node.body]
+
+def _inside(function):
+    """All that belongs to a function, with its depth: its signature and body, classes and lambdas in it, but no function defined within."""
+    todo = [(function, 0)]
     while todo:
         at, depth = todo.pop()
-        depth += isinstance(at, _NESTED)
+        depth += isinstance(at, BRANCHES)
         yield at, depth
-        if not isinstance(at, _OWN):
-            todo += [(child, depth) for child in ast.iter_child_nodes(at)]
+        todo += [(child, depth) for child in ast.iter_child_nodes(at) if not isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef))]
 
 
 def _weight(node) -> int:
     if isinstance(node, ast.BoolOp):
         return len(node.values) - 1
-    return len(node.ifs) if isinstance(node, ast.comprehension) else isinstance(node, _BRANCHES)
+    return len(node.ifs) if isinstance(node, ast.comprehension) else isinstance(node, BRANCHES)
 
 
 def measures(text: str | None):
@@ -42,7 +41,7 @@ def measures(text: str | None):
             a = node.args
             inner = list(_inside(node))
             params = len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg)
-            yield node.lineno, node.name, node.end_lineno - node.lineno + 1, params, sum(_weight(n) for n, _ in inner), max((d for _, d in inner), default=0), ast.get_docstring(node) is not None
+            yield node.lineno, node.name, node.end_lineno - node.lineno + 1, params, sum(_weight(n) for n, _ in inner), max(d for _, d in inner), ast.get_docstring(node) is not None
 
 
 def functions(files: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftrock.functions.text import all_matches, first_match, line_array, lines, looks_like_env
+from siftrock.operators.nesting import sends_after_close
 
 # ---- fixed values
 
@@ -65,8 +66,6 @@ NOT_PRODUCTION = r"""(?i)if\s*\(?\s*(?:process\.env\.NODE_ENV|os\.environ\[?["']
 STAND_IN = r"(?i)\b(mock|stub|fake|dummy)"
 GOROUTINE = r"^\s*go\s+\w"
 SYNC = r"sync\.|wg\.Add|wg\.Done|wg\.Wait|chan |errgroup\.|context\."
-CLOSE = r"^\s*close\(\s*(\w+)\s*\)"
-SEND = r"(\w+)\s*<-\s*[^<]"
 NUMBER_COMMENT = r"^\s*[\w.\[\]]+\s*[+\-*/%]?=\s*(-?\d+(?:\.\d+)?)\s*[\s,)\]}]*\s*#\s*(.+)$"
 ANY_NUMBER = r"-?\d+(?:\.\d+)?"
 
@@ -184,16 +183,6 @@ def followed_by(first: DataFrame, then: DataFrame, keys: list[str], place: str,
     return a.join(b, near).groupBy(*[F.col(f"a.{c}").alias(c) for c in first.columns]).agg(F.min(f"b.{place}").alias("next"))
 
 
-def sends_after_close(files: DataFrame) -> DataFrame:
-    """Go: a channel is sent to within twenty lines below its closing. Comments and quoted text are blanked line by line."""
-    blank = F.regexp_replace("line", r'"(?:[^"\\]|\\.)*"|//.*$', "")
-    code = lines(files).withColumn("line", blank)
-    closed = code.select("path", "line_no", F.regexp_extract("line", CLOSE, 1).alias("name")).where("name != ''")
-    sent = code.select("path", "line_no", F.regexp_extract("line", SEND, 1).alias("name")).where("name != ''")
-    rows = followed_by(closed, sent, ["path", "name"], "line_no", 20).select("path", F.col("next").alias("line_no"), "name")
-    return _finding(rows, "CHANNEL_SEND_AFTER_CLOSE", "error", "channel_send_after_close", F.col("name"))
-
-
 def all_rules(files: DataFrame) -> DataFrame:
     """Every rule's findings, one DataFrame."""
     out = hardcoded(files)

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftrock.operators.entry_points import Pattern, sites
+from siftrock.operators.nesting import NOT_CODE, SCRIPT_SUFFIXES as SUFFIXES
 from siftrock.operators.syntax import LARGE
 
 # ---- fixed values
 
-SUFFIXES = (".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".mts", ".cts")
-NOT_CODE = r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`"""
 LITERAL = r"""true|1|"[^"]+"|'[^']+'|\d+"""
 CONSUMED = r"^\s*(?:(?:await|return|void|yield|throw|for|if|while|do) |(?:(?:const|let|var)\s+)?[\w$.\[\]]+(?:\s*:\s*[\w$<>,]+)?\s*[+\-*/%&|^]?=\s)"
 PROMISING = r"fetch\(|Promise\.|\.(?:then|all|race|any)\("
@@ -21,9 +20,9 @@ PATTERNS = {
     "equal": Pattern("", "equal", SUFFIXES, rf"expect\s*\(\s*(?P<arg>{LITERAL})\s*\)\s*\.(?:toBe|toEqual|toStrictEqual)\(\s*(?P=arg)\s*\)", "{arg}"),
     "truthy": Pattern("", "truthy", SUFFIXES, rf"expect\s*\(\s*(?P<arg>{LITERAL})\s*\)\s*\.toBeTruthy\(\s*\)", "{arg}"),
     "read": Pattern("", "read", SUFFIXES, r"\b(?P<name>readFileSync|readFile)\s*\(\s*(?P<path>\"[^\"]+\"|'[^']+')", "{name} {path}"),
-    "floating": Pattern("", "floating", SUFFIXES, r"(?m)^(?P<line>[^\S\n]*(?:[\w$.\[\]]+\.)?(?:fetch|then|catch|finally|all|race|any|allSettled)[^\S\n]*\([^\n]*)", "{line}", NOT_CODE),
-    "promise": Pattern("", "promise", SUFFIXES, r"Promise\.(?P<name>all|race|any|allSettled)\s*\(", "{name}", NOT_CODE),
-    "guard": Pattern("", "guard", SUFFIXES, r"\.catch\(|try[ {]", "", NOT_CODE),
+    "floating": Pattern("", "floating", SUFFIXES, r"(?m)^(?P<line>[^\S\n]*(?:[\w$.\[\]]+\.)?(?:fetch|then|catch|finally|all|race|any|allSettled)[^\S\n]*\([^\n]*)", "{line}", NOT_CODE.pattern),
+    "promise": Pattern("", "promise", SUFFIXES, r"Promise\.(?P<name>all|race|any|allSettled)\s*\(", "{name}", NOT_CODE.pattern),
+    "guard": Pattern("", "guard", SUFFIXES, r"\.catch\(|try[ {]", "", NOT_CODE.pattern),
 }
 
 
