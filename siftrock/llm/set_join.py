@@ -163,15 +163,20 @@ def node(h: np.ndarray) -> int | None:
     return int(np.array(xxhash.xxh3_64_intdigest(h.tobytes(), 42), np.uint64).view(np.int64)) if len(h) else None
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, grams) of ``nodes`` (node, said): the sets, made again from the texts that they are of, and from no others."""
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """(node, grams) of ``nodes`` (node, said): the sets, made again from the texts that they are of, and from no others.
+
+    Up to ``broadcast_keys`` hashes of texts are broadcast, so that no text is shuffled; beyond that the join shuffles.
+    """
 
     def run(batches):
         for batch in sliced(batches):
             some = [hashes(split(t), words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(node, some), pa.int64()), _lists(some)], ["node", "grams"])
 
-    texts = docs.select("said", "text").join(nodes.select("said").distinct(), "said", "left_semi").select("text")
+    said = written(nodes.select("said").distinct(), "sets-said")
+    said = F.broadcast(said) if said.count() <= broadcast_keys else said
+    texts = docs.select("said", "text").join(said, "said", "left_semi").select("text")
     return texts.mapInArrow(run, "node long, grams array<long>").where("node IS NOT NULL").dropDuplicates(["node"])
 
 
@@ -283,6 +288,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, similar: float | N
     return two.where(100 * both >= percent * any_ if similar is None else both >= similar * any_ - 1e-9).select("a", "b")
 
 
+def _parts(rows: DataFrame) -> int:
+    """A number of partitions that is kept, as few bytes can be much to compare."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def in_blocks(members: DataFrame) -> DataFrame:
     """``members`` of keys (key, node, size and others) with the block of each and how many their key has."""
     parts = F.ceil(F.col("size") / MEMBERS).cast("int")
@@ -296,7 +306,7 @@ def pairs_with_middles(members: DataFrame, percent: int) -> DataFrame:
     first = large.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("first")).select("key", F.col("first.node").alias("node"))
     first = large.join(first, ["key", "node"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
     rows = members.select(*row).unionAll(first.withColumn("block", F.col("other")).select(*row))
-    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
+    rows = rows.repartition(_parts(rows), "key", "block").sortWithinPartitions("key", "block")
     return rows.mapInArrow(middles(percent), "a long, b long").distinct()
 
 
@@ -305,7 +315,7 @@ def pairs_between(members: DataFrame, percent: int) -> DataFrame:
     several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = members.join(several, "key", "left_semi").withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rows = rows.select("key", "i", "j", "block", "node", "n", "at_home", "root", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("key", "i", "j", "block", "node", "n", "at_home", "root", "bits").repartition(_parts(rows), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(between(percent), "a long, b long").distinct()
 
 
