@@ -2,41 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrock.functions.text import first_match
 
 #: Suffixes and manifests by language.
 LANGUAGES = {
-    "python": ((".py", ".pyi"), ("pyproject.toml", "setup.py", "requirements.txt")),
+    "python": ((".py", ".pyi"), ("pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "Pipfile", "poetry.lock")),
     "javascript": ((".js", ".mjs", ".cjs", ".jsx"), ("package.json",)),
-    "typescript": ((".ts", ".tsx"), ("tsconfig.json",)),
+    "typescript": ((".ts", ".tsx", ".mts", ".cts"), ("tsconfig.json", "package.json")),
     "go": ((".go",), ("go.mod",)),
     "rust": ((".rs",), ("Cargo.toml",)),
     "swift": ((".swift",), ("Package.swift",)),
     "elixir": ((".ex", ".exs"), ("mix.exs",)),
-    "solidity": ((".sol",), ("foundry.toml",)),
+    "solidity": ((".sol",), ("foundry.toml", "hardhat.config.js", "hardhat.config.ts", "truffle-config.js")),
 }
+#: The manifests that prove a language, where they aren't all of its own.
+PROOFS = {"typescript": ("tsconfig.json",)}
+
+
+def suffix_of(path: Column) -> Column:
+    """The last suffix of a path's name in lower case, with its dot; empty if there is none. A name that begins with its only dot has none."""
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+
+
+def language_of(path: Column) -> Column:
+    """The language of a file by its suffix, or null."""
+    known = F.create_map(*[F.lit(x) for lang, (ext, _) in LANGUAGES.items() for e in ext for x in (e, lang)])
+    return F.element_at(known, suffix_of(path))
+
 
+def languages(files: DataFrame, *, least: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """lang, files, manifests, detected, evidence of the languages that any file hints at, of each set of files (``by``).
 
-def languages(files: DataFrame, *, least: int = 10) -> DataFrame:
-    """lang, files, manifests, detected: a manifest or ``least`` files; the two that share a manifest need files of their own as well."""
-    suffix, name = F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1), F.regexp_extract("path", r"([^/]+)$", 1)
-    marks = F.array_compact(F.array(
-        *[F.when(F.lower(suffix).isin(*ext), F.struct(F.lit(lang).alias("lang"), F.lit(False).alias("manifest"))) for lang, (ext, _) in LANGUAGES.items()],
-        *[F.when(name.isin(*man), F.struct(F.lit(lang).alias("lang"), F.lit(True).alias("manifest"))) for lang, (_, man) in LANGUAGES.items()],
-    ))
-    each = files.select(F.explode(marks).alias("m")).select("m.*")
-    out = each.groupBy("lang").agg(F.count(F.when(~F.col("manifest"), 1)).alias("files"), F.count(F.when(F.col("manifest"), 1)).alias("manifests"))
-    both = F.col("lang").isin("javascript", "typescript")
-    detected = F.when(both, (F.col("files") > 0) & ((F.col("manifests") > 0) | (F.col("files") >= least))).otherwise((F.col("manifests") > 0) | (F.col("files") >= least))
-    return out.withColumn("detected", detected)
+    A manifest or ``least`` files prove a language; of the two that share a manifest, one needs a file as well and the other its own manifest and a file.
+    """
+    name = F.substring_index("path", "/", -1)
+    of_name = F.create_map(*[x for m in sorted({m for _, man in LANGUAGES.values() for m in man}) for x in (F.lit(m), F.array(*[F.lit(lang) for lang, (_, man) in LANGUAGES.items() if m in man]))])
+    own = F.array_compact(F.array(language_of(F.col("path"))))
+    marks = F.concat(F.transform(own, lambda x: F.struct(x.alias("lang"), F.lit(False).alias("manifest"))), F.transform(F.coalesce(F.element_at(of_name, name), F.array().cast("array<string>")), lambda x: F.struct(x.alias("lang"), F.lit(True).alias("manifest"))))
+    each = files.select(*by, F.explode(marks).alias("m"), name.alias("name"), suffix_of(F.col("path")).alias("suffix")).select(*by, "m.*", F.when(F.col("m.manifest"), F.col("name")).otherwise(F.col("suffix")).alias("said"))
+    each = each.groupBy(*by, "lang", "manifest", "said").agg(F.count(F.lit(1)).alias("n"))  # as many rows as there are suffixes and manifests
+    text = F.when(F.col("manifest"), F.concat(F.lit("manifest: "), "said")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" "), "said", F.when(F.col("n") == 1, " file").otherwise(" files")))
+    proof = F.lit(True)
+    for lang, names in PROOFS.items():
+        proof = F.when(F.col("lang") == lang, F.col("said").isin(*names)).otherwise(proof)
+    out = each.groupBy(*by, "lang").agg(
+        F.coalesce(F.sum(F.when(~F.col("manifest"), F.col("n"))), F.lit(0)).alias("files"),
+        F.coalesce(F.sum(F.when(F.col("manifest"), F.col("n"))), F.lit(0)).alias("manifests"),
+        F.coalesce(F.sum(F.when(F.col("manifest") & proof, F.col("n"))), F.lit(0)).alias("proofs"),
+        F.transform(F.array_sort(F.collect_list(F.struct("manifest", "said", text.alias("text")))), lambda x: x["text"]).alias("evidence"),
+    )
+    proven = (F.col("proofs") > 0) & (~F.col("lang").isin("javascript", "typescript") | (F.col("files") > 0))
+    return out.select(*by, "lang", "files", "manifests", (proven | (F.col("files") >= least)).alias("detected"), "evidence")
 
 
-def first_files(files: DataFrame, key: str, order: str, most: int = 200) -> DataFrame:
-    """The first ``most`` files of each key: the sample in which contents are looked at."""
-    w = Window.partitionBy(key).orderBy(order)
+def first_files(files: DataFrame, key: str | Sequence[str], order: str | Column, most: int = 200) -> DataFrame:
+    """The first ``most`` files of each key: the sample in which contents are looked at. Each task hands on no more than these."""
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
     return files.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
