@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftrock.functions.text import glob_regex
-from siftrock.operators import classify, domains, software
+from siftrock.operators import classify, domains, scenarios, software
 from siftrock.sources.tables import table
 
 #: A text that each pattern of the registries matches.
@@ -81,8 +81,34 @@ def specialists(spark, d):
     return domains.called(domains.detect(repositories(spark, d, domain_slots(), len(domains.DOMAINS)), by=["repo"]), by=["repo"])
 
 
+KINDS = [*(kind for kind, _, _ in scenarios.LABELS), "library_export"]
+
+
+def scenario_families(spark, d):
+    """The families of the type of every part, as pairs; a part's type is its number's."""
+    types = spark.createDataFrame(list(enumerate(scenarios.TYPES)), "i int, type string")
+    own = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(scenarios.TYPES)).cast("int").alias("i"))
+    return own.join(F.broadcast(types), "i").join(F.broadcast(scenarios.bridge(spark)), "type").select("p_partkey", "type", "family")
+
+
+def scenario_expansion(spark, d):
+    """Scenarios of entry points made of parts, a repository for each brand: types, kinds, places, metadata and documentation are columns."""
+    get = lambda some, i: F.get(F.array(*map(F.lit, some)), i)
+    key, size = F.col("p_partkey").cast("int"), F.col("p_size")
+    entries = [F.struct(F.lit(k).alias("k"), F.concat(F.lit(f"{k} "), "p_name").alias("v")) for k in ("method", "path", "command", "vector", "cmd")]
+    entries = F.filter(F.array(*[F.when((size + i) % 3 > 0, x) for i, x in enumerate(entries)]), lambda x: x.isNotNull())
+    points = table(spark, d, "part").select(
+        "p_brand", get(scenarios.TYPES, key % len(scenarios.TYPES)).alias("type_origin"), get(KINDS, size % len(KINDS)).alias("kind"),
+        F.concat(F.lit("src/"), "p_type").alias("file"), (size % 9).alias("line"), "p_name", F.when(size % 4 == 0, F.concat(F.lit("  "), "p_type", F.lit("\n"))).alias("docstring"),
+        F.map_from_entries(entries).alias("metadata"),
+    ).withColumnRenamed("p_name", "symbol")
+    out = scenarios.scenarios(points, by=["p_brand"])
+    modes = F.array_join("failure_modes_to_test", ",").alias("modes")
+    return out.select("p_brand", "id", "type_origin", "family", "title", "entry_point.file", "entry_point.line", "entry_point.symbol", "actor_role", F.col("stimulus.kind").alias("stimulus"), "intended_behaviour", modes)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (software_types, repository_languages, repository_domains, specialists)}
+    return {f.__name__: f for f in (scenario_families, scenario_expansion, software_types, repository_languages, repository_domains, specialists)}
 
 
 def _q(text: str) -> str:
@@ -167,10 +193,37 @@ found AS (
 d AS (SELECT repo, domain, CASE WHEN least > 0 THEN sources >= least ELSE evidence <> '' END AS detected, evidence FROM found)"""
 
 
+def _bridge_sql() -> str:
+    types = ", ".join(f"({i}, '{t}')" for i, t in enumerate(scenarios.TYPES))
+    applies = ", ".join(f"('{f.name}', '{i}')" for f in scenarios.FAMILIES for i in f.applies)
+    listed = ", ".join(f"('{g}', '{t}')" for g, some in scenarios.GROUPS.items() for t in some)
+    return f"""types(i, type) AS (VALUES {types}), applies(family, item) AS (VALUES {applies}), listed(item, type) AS (VALUES {listed}),
+bridge AS (SELECT DISTINCT type, family FROM applies a JOIN types t ON a.item = 'ALL' OR a.item = t.type OR EXISTS (SELECT 1 FROM listed l WHERE l.item = a.item AND l.type = t.type)
+  OR (ends_with(a.item, '_*') AND starts_with(t.type, left(a.item, length(a.item) - 1)) AND a.item NOT IN (SELECT item FROM listed)))"""
+
+
+def _expansion_sql() -> str:
+    about = ", ".join(f"({_q(f.name)}, {_q(f.title)}, {_q(f.role)}, {_q(','.join(f.modes))})" for f in scenarios.FAMILIES)
+    has = {k: f"(p_size + {i}) % 3 > 0" for i, k in enumerate(("method", "path", "command", "vector", "cmd"))}
+    label = " ".join(f"WHEN kind = '{kind}' AND {' AND '.join(has[k] for k in keys)} THEN {shown}" for (kind, keys, _), shown in zip(scenarios.LABELS, ("'method ' || p_name || ' path ' || p_name", "'command ' || p_name", "'ISR vector ' || p_name || ' (' || p_name || ')'", "'syscall cmd ' || p_name || ' (' || p_name || ')'")))
+    default = " || family || ".join(map(_q, scenarios.DEFAULT.split("{family}")))
+    return f"""WITH {_bridge_sql()},
+about(family, title, actor_role, modes) AS (VALUES {about}),
+p AS (SELECT *, ({_list(KINDS)})[1 + p_size % {len(KINDS)}] AS kind, 'src/' || p_type AS file, p_size % 9 AS line, CASE WHEN p_size % 4 = 0 THEN '  ' || p_type || chr(10) END AS doc FROM part JOIN types ON i = p_partkey % {len(scenarios.TYPES)}),
+q AS (SELECT *, CASE {label} ELSE p_name END AS label,
+    list_sort(list_filter([{", ".join(f"CASE WHEN {h} THEN '{k} ' || p_name END" for k, h in has.items())}], lambda x: x IS NOT NULL)) AS entries FROM p),
+one AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY p_brand, type, file, line, p_name ORDER BY kind, doc NULLS FIRST, entries) = 1)
+SELECT p_brand, printf('SCEN-%04d', row_number() OVER (PARTITION BY p_brand ORDER BY type, file, line, p_name, family)) AS id, type AS type_origin, family, replace(title, '{{entry}}', label) AS title,
+  file, line, p_name AS symbol, actor_role, family || '_default' AS stimulus, coalesce(nullif(trim(doc, ' ' || chr(10)), ''), {default}) AS intended_behaviour, modes
+FROM one JOIN bridge USING (type) JOIN about USING (family)"""
+
+
 def oracle_sql() -> dict[str, str]:
     gates = ", ".join(f"('{s}', {_list(some)})" for s, some in domains.GATES.items())
     kinds = len(domains.DOMAINS)
     return {
+        "scenario_families": f"WITH {_bridge_sql()} SELECT p_partkey, type, family FROM part JOIN types ON i = p_partkey % {len(scenarios.TYPES)} JOIN bridge USING (type)",
+        "scenario_expansion": _expansion_sql(),
         "software_types": _types_sql(),
         "repository_languages": f"WITH {_files(domain_slots(), kinds)}, {_spoken(3)} SELECT * FROM spoken",
         "repository_domains": _domains_sql() + " SELECT * FROM d",
