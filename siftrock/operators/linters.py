@@ -6,6 +6,8 @@ line formats by pattern. What is blank or no JSON of the expected shape gives no
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,8 +83,59 @@ def _texts(outputs: DataFrame, tool: str) -> DataFrame:
     return _named(rows.select(*[field(g).alias(n) for g, n in zip(groups, names, strict=True)]), tool, ("a", "b", "c", "e", "f", "trim(g)"))
 
 
-def normalised(outputs: DataFrame) -> DataFrame:
-    parts = [_documents(outputs, t) for t in DOCUMENTS] + [_streams(outputs, t) for t in STREAMS] + [_texts(outputs, t) for t in TEXTS] + [_markdown(outputs)]
+#: The document of the tool that gives places in bytes.
+BIOME = "struct<diagnostics:array<struct<category:string,severity:string,description:string,location:struct<path:struct<file:string>,span:array<long>>>>>"
+
+
+def line_starts(files: DataFrame) -> DataFrame:
+    """(path, starts): the offsets in bytes at which the lines of a file begin, in order; lines end at line feeds. content: text, or the file's bytes."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for content in batch.column("content").to_pylist():
+                data = np.frombuffer(content or b"", np.uint8)
+                found.append(np.concatenate([np.zeros(1, np.int64), np.flatnonzero(data == 10) + 1]))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.list_(pa.int64()))], ["path", "starts"])
+
+    rows = files.select(F.col("path").cast("string").alias("path"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
+    return rows.mapInArrow(run, "path string, starts array<long>")
+
+
+def places(offsets: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, offset, line, column) of ``offsets`` (path, offset in bytes), each once: columns are in bytes, both count from 1; 0 and 0 in
+    files that aren't there and before their beginning.
+
+    A file's offsets meet its index once, however many there are, and are searched for in it.
+    """
+    asked = offsets.where("path IS NOT NULL AND offset >= 0").groupBy("path").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
+    known = files.join(asked.select("path"), "path", "left_semi").dropDuplicates(["path"])
+    rows = asked.join(line_starts(known), "path")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, some, starts in zip(*(batch.column(c).to_pylist() for c in ("path", "offsets", "starts")), strict=True):
+                at = np.searchsorted(starts, some, side="right")
+                out += zip([path] * len(some), some, at.tolist(), (np.array(some) - np.array(starts)[at - 1] + 1).tolist())
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32()))], ["path", "offset", "line", "column"])
+
+    return rows.mapInArrow(run, "path string, offset long, line int, column int")
+
+
+def biome(outputs: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings of the tool whose spans are offsets in bytes of ``files`` (path, content)."""
+    each = outputs.where("tool = 'biome'").select(F.explode(F.from_json("stdout", BIOME)["diagnostics"]).alias("x"))
+    offset = F.when(F.size("x.location.span") > 0, F.get("x.location.span", F.lit(0))).otherwise(F.lit(0))
+    rows = each.select(F.coalesce("x.location.path.file", F.lit("")).alias("path"), F.coalesce(offset, F.lit(0)).cast("long").alias("offset"), "x.severity", "x.category", "x.description")
+    found = rows.join(places(rows.select("path", "offset"), files), ["path", "offset"], "left")
+    return _named(found, "biome", ("path", "line", "column", "severity", "category", "description"))
+
+
+def normalised(outputs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Findings of every tool. Places of one are in bytes and need the ``files``; without these it is left out."""
+    parts = [_documents(outputs, t) for t in DOCUMENTS] + [_streams(outputs, t) for t in STREAMS] + [_texts(outputs, t) for t in TEXTS] + [_markdown(outputs)] + ([biome(outputs, files)] if files is not None else [])
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftrock.operators import nesting, python_ast
+from siftrock.operators import linters, nesting, python_ast
 from siftrock.sources.tables import table
 
 
@@ -99,9 +99,27 @@ SELECT path, line, x.s AS severity, 'complexity' AS category, x.c AS code, name
     {{c: 'HIGH_COMPLEXITY', s: 'warning', v: branches, m: 9}}, {{c: 'DEEP_NESTING', s: 'nit', v: depth, m: 2}}]) AS x FROM f) WHERE x.v > x.m"""
 
 
+def byte_places(spark, d):
+    """A linter's offsets in bytes as lines and columns: two in each document, of any letters, one behind its end and one in a file that isn't there."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    at = F.array((F.col("path").cast("long") * 37 % (F.length("content") + 1)).cast("int"), (F.col("path").cast("long") * 1009 % (F.length("content") + 1)).cast("int"))
+    offsets = F.transform(at, lambda k: F.octet_length(F.substring(F.col("content"), F.lit(1), k)).cast("long"))
+    offsets = F.concat(offsets, F.array(F.octet_length("content").cast("long") + 5))
+    spot = lambda path, offset: F.struct(F.lit("lint/a").alias("category"), F.lit("error").alias("severity"), F.lit("odd").alias("description"), F.struct(F.struct(path.alias("file")).alias("path"), F.array(offset, offset + 1).alias("span")).alias("location"))
+    each = F.concat(F.transform(offsets, lambda o: spot(F.col("path"), o)), F.array(spot(F.concat(F.lit("no/"), "path"), F.lit(7).cast("long"))))
+    outputs = docs.select(F.lit("biome").alias("tool"), F.to_json(F.struct(each.alias("diagnostics"))).alias("stdout"))
+    return linters.biome(outputs, docs)
+
+
+PLACES = """WITH d AS (SELECT doc_id::VARCHAR AS path, doc_id, coalesce(text, '') AS text FROM documents),
+k AS (SELECT path, left(text, (doc_id * 37 % (length(text) + 1))::INT) AS head, 0 AS more FROM d UNION ALL SELECT path, left(text, (doc_id * 1009 % (length(text) + 1))::INT), 0 FROM d UNION ALL SELECT path, text, 5 FROM d),
+f AS (SELECT path, (length(head) - length(replace(head, chr(10), '')) + 1)::INT AS line, (strlen(string_split(head, chr(10))[-1]) + 1 + more)::INT AS "column" FROM k UNION ALL SELECT 'no/' || path, 0, 0 FROM d)
+SELECT 'biome' AS tool, path, line, "column", 'error' AS severity, 'lint/a' AS code, 'odd' AS message FROM f"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (channel_sends, script_structure, go_loop_queries, state_of_modules, function_measures)}
+    return {f.__name__: f for f in (channel_sends, script_structure, go_loop_queries, state_of_modules, function_measures, byte_places)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"channel_sends": CHANNELS, "script_structure": SCRIPTS, "go_loop_queries": GO_LOOPS, "state_of_modules": STATES, "function_measures": FUNCTIONS}
+    return {"channel_sends": CHANNELS, "script_structure": SCRIPTS, "go_loop_queries": GO_LOOPS, "state_of_modules": STATES, "function_measures": FUNCTIONS, "byte_places": PLACES}
