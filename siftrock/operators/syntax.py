@@ -121,6 +121,7 @@ def facts(text: str | None):
     for s in ast.walk(tree):
         if isinstance(s, ast.Assign) and [_last(t) for t in s.targets] == ["__all__"] and isinstance(s.value, (ast.List, ast.Tuple)):
             used |= {e.value for e in s.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str) and e.value.isidentifier()}
+    grouped = {id(h) for s in ast.walk(tree) if isinstance(s, ast.TryStar) for h in s.handlers}  # handlers of groups are none of these rules
     yield from ((None, "use", n, [], [], None) for n in sorted(used))
     yield 1, "module", None, [], [], ast.get_docstring(tree)
     todo = [(tree, False, False)]
@@ -130,7 +131,7 @@ def facts(text: str | None):
             yield from _definition(node, top)
         elif isinstance(node, ast.ClassDef):
             yield node.lineno, "class", node.name, [], _marks(top=top), ast.get_docstring(node)
-        elif isinstance(node, ast.ExceptHandler):
+        elif isinstance(node, ast.ExceptHandler) and id(node) not in grouped:
             yield _handler(node, text)
         elif isinstance(node, ast.Call):
             first = node.args[0] if node.args else None

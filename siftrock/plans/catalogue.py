@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftrock.functions.text import lines, severity
 from siftrock.operators import classify, entry_points, findings, joins, rules
-from siftrock.plans import planted, points, registries, structured
+from siftrock.plans import planted, points, registries, sites, structured
 from siftrock.sources.tables import document_files, table
 
 WORD = "[A-Za-z]+"
@@ -219,7 +219,7 @@ _NAMES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _NAMES} | planted.queries() | structured.queries() | registries.queries() | points.queries()
+    return {f.__name__: f for f in _NAMES} | planted.queries() | structured.queries() | registries.queries() | points.queries() | sites.queries()
 
 
 LINES = """a AS (SELECT doc_id AS path, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
@@ -294,4 +294,4 @@ def oracle_sql() -> dict[str, str]:
         "domain_evidence": "SELECT domain, count(*) AS n, min(doc_id) AS first FROM documents JOIN (VALUES ('mail', '[a-z]+@[a-z]+', 1), ('license', '[Ll]icense', 1), ('digits', '[0-9]{4,}', 3)) p(domain, pattern, least) ON regexp_matches(text, pattern) GROUP BY domain, least HAVING count(*) >= least",
         "source_breakdown": "WITH s AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2) SELECT source, string_agg(lang || ': ' || n || ' file' || CASE WHEN n = 1 THEN '' ELSE 's' END, ', ' ORDER BY n DESC, lang) AS parts FROM s GROUP BY 1",
         "json_fields": "SELECT (props->>'k')::INT AS k, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1",
-    } | planted.oracle_sql() | structured.oracle_sql() | registries.oracle_sql() | points.oracle_sql()
+    } | planted.oracle_sql() | structured.oracle_sql() | registries.oracle_sql() | points.oracle_sql() | sites.oracle_sql()
