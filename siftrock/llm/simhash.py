@@ -38,7 +38,7 @@ from .components import connected
 from .shared import free_name, sliced, written
 
 BITS, DIFFER, SEGMENTS = 64, 4, 8
-RING, MISSED, FEW, FIRST, PARITIES = 256, 0.01, 64, 4, 512
+RING, MISSED, FEW, FIRST, PARITIES, WIDTH = 256, 0.01, 64, 4, 512, 20
 RING_SEEDS = (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -184,9 +184,9 @@ def bit_budget(similar: float, bits: int, spread: float) -> int:
 
 
 def arcs(n: int, similar: float, seed: int = 7) -> np.ndarray:
-    """Masks (rows of four words) of the arcs that ``n`` rings are looked up by: log2(n) bits each, so that few unlike rings
+    """Masks (rows of four words) of the arcs that ``n`` rings are looked up by: log2(n) bits each and ``WIDTH`` at least, so that few unlike rings
     meet, and as many as hold the share missed at the threshold to ``MISSED``."""
-    width = max(8, math.ceil(math.log2(max(n, 2))))
+    width = max(WIDTH, math.ceil(math.log2(max(n, 2))))
     p = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
     many, rng, out = math.ceil(math.log(MISSED) / math.log(1 - p**width)), np.random.default_rng(seed), []
     while len(out) < many:
@@ -305,24 +305,28 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
     return out.join(ids, "root").select("node", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, *, words: int = 5, similar: float | None = None, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, *, words: int = 5, similar: float | None = None, doc_id: str = "doc_id", text: str = "text", broadcast_keys: int = 1_000_000, **options) -> DataFrame:
     """``docs`` without all but one row of each component: that of the smallest id, and of those that repeat this id with other texts
     that of the smallest fingerprint (or node). Links are those of ``similar_classes`` where ``similar`` is given, else
     fingerprints at most four bits apart.
 
-    Rows without an id stay: no member of a group can be told from them.
+    Rows without an id stay: no member of a group can be told from them. Up to ``broadcast_keys`` ids of rows that go are broadcast; beyond
+    that the join shuffles.
     """
     if similar is None:
         prints = written(fingerprints(docs, words=words, doc_id=doc_id, text=text), "fingerprints")
-        found = prints.join(classes(prints, **options), "fp").select("doc_id", F.col("fp").alias("_key"), "root")
+        found = prints.join(classes(prints, broadcast_keys=broadcast_keys, **options), "fp").select("doc_id", F.col("fp").alias("_key"), "root")
         key_of = lambda t: _signed(fingerprint(t, words))
     else:
         prints = written(rings(docs, words=words, doc_id=doc_id, text=text), "rings")
-        found = prints.join(similar_classes(docs, prints, words=words, similar=similar, doc_id=doc_id, text=text, **options), "node").select("doc_id", F.col("node").alias("_key"), "root")
+        found = prints.join(similar_classes(docs, prints, words=words, similar=similar, doc_id=doc_id, text=text, broadcast_keys=broadcast_keys, **options), "node").select("doc_id", F.col("node").alias("_key"), "root")
         key_of = lambda t: node(_words(t))
-    found = found.where("doc_id IS NOT NULL").groupBy("root", "doc_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    found = written(found.where("doc_id IS NOT NULL").groupBy("root", "doc_id", "_key").agg(F.count(F.lit(1)).alias("_n")), "members")
     stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "_key", "_n")).alias("s"))
     stay = written(stay.select(F.col("s.doc_id").alias(doc_id), "s._key", "s._n"), "kept")
+    more = stay.where("_n > 1")
+    gone = found.select(F.col("doc_id").alias(doc_id), "_key").join(stay.where("_n = 1"), [doc_id, "_key"], "left_anti")  # these, too, of which rows repeat
+    gone = written(gone, "gone")
 
     def run(batches):
         for batch in sliced(batches):
@@ -332,10 +336,15 @@ def keep_one(docs: DataFrame, *, words: int = 5, similar: float | None = None, d
     def keyed(some: DataFrame) -> DataFrame:
         return some.mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", LongType())]))
 
-    more = stay.where("_n > 1")
-    once = keyed(docs).join(stay.where("_n = 1"), [doc_id, "_key"], "left_semi")
+    if gone.count() <= broadcast_keys:  # no text is shuffled, and only those of ids that go are hashed again
+        gone, known = F.broadcast(gone), docs.where(F.col(doc_id).isNotNull())
+        ids = F.broadcast(gone.select(doc_id).distinct())
+        unsure = keyed(known.join(ids, doc_id, "left_semi")).join(gone, [doc_id, "_key"], "left_anti")
+        once = known.join(ids, doc_id, "left_anti").unionByName(unsure.select(*docs.columns))
+    else:
+        once = keyed(docs).join(stay.where("_n = 1"), [doc_id, "_key"], "left_semi").select(*docs.columns)
     repeated = keyed(docs.join(more, doc_id, "left_semi")).join(more, [doc_id, "_key"], "left_semi").dropDuplicates([doc_id, "_key"])
-    return once.unionByName(repeated).select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    return once.unionByName(repeated.select(*docs.columns)).unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
