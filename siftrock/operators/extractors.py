@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -31,6 +32,22 @@ MODEL_SKIPPED = (*COMMON, *CACHES, *SAMPLES, ".hg", ".svn", ".cache", ".idea", "
 COMPOSE_SKIPPED = (*COMMON, *CACHES, ".venv", "venv", "env", ".env", "tests", "test")
 CHART_SKIPPED = (*COMPOSE_SKIPPED, "charts")
 BOARD_SKIPPED = (*COMMON, ".hg", ".svn", "ipcore", "xilinx_ip", "altera_ip", "lib", "tb", "vendor", "out")
+QUEUE_SKIPPED = (
+    *COMMON, *CACHES, *SAMPLES, ".hg", ".svn", ".venv", "venv", "env", ".env", ".tox", ".pnpm-store", ".yarn", "vendor", ".cache", "out", ".next", ".nuxt", ".idea", ".vscode", "tests", "test", "__tests__", "spec", "coverage",
+    "downloads_dev", "libs_dev", "builds_dev",
+)
+TRAINING = ("fit", "train", "step", "backward")
+TRAINING_TEXT = r"fit\(|\.train\(|\.step\(|\.backward\(|hydra"
+QUEUE_SUFFIXES = (".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx")
+QUEUE_TEXT = r"consume\(|subscribe\(|\.run\(|kafkajs|amqplib|nats"
+QUEUE_ON = r"(?P<binding>[A-Za-z_$][\w$]*)\s*\.\s*"
+#: Library, api, what is named, pattern.
+QUEUE_CALLS = (
+    ("amqplib", "consume", "queue", QUEUE_ON + r"consume\s*\(\s*(?P<quote>['\"])(?P<named>[^'\"]+)(?P=quote)"),
+    ("kafkajs", "subscribe", "topic", QUEUE_ON + r"subscribe\s*\(\s*\{\s*(?:topic|topics)\s*:\s*(?P<list>(?:['\"][^'\"]+['\"])|(?:\[[^\]]+\]))"),
+    ("nats_or_redis", "subscribe", "subject", QUEUE_ON + r"subscribe\s*\(\s*(?P<quote>['\"])(?P<named>[^'\"]+)(?P=quote)"),
+    ("kafkajs", "run_eachMessage", None, QUEUE_ON + r"run\s*\(\s*\{\s*eachMessage\s*:"),
+)
 COMPOSE_NAMES = ("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
 SERVICE_KEYS = ("image", "build", "restart", "container_name", "hostname")
 SERVICE_NAME = r"^[A-Za-z0-9][A-Za-z0-9_\-.]*$"
@@ -114,6 +131,89 @@ def package_exports(files: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     return _points(found, by, "library_python", "library_export", "path", "line", F.col("name"), F.col("said"), {"language": F.lit("python"), "scope": scope, "in_all": F.coalesce("listed", F.lit(False))})
 
 
+# ---- training and queues
+
+
+def _called(node: ast.AST) -> ast.Attribute | None:
+    """What is called, if that is an attribute of something."""
+    return node.func if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) else None
+
+
+def training_functions(text: str):
+    """(line, name, first line of the docstring, training calls, whether a configuration framework starts it) of a module's public functions with either."""
+    try:
+        module = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return
+    for at in module.body:
+        if isinstance(at, (ast.FunctionDef, ast.AsyncFunctionDef)) and not at.name.startswith("_"):
+            calls = sorted({c.attr for n in ast.walk(at) if (c := _called(n)) and c.attr in TRAINING})
+            marks = [d.func if isinstance(d, ast.Call) else d for d in at.decorator_list]
+            started = any(isinstance(m, ast.Attribute) and m.attr == "main" and isinstance(m.value, ast.Name) and m.value.id == "hydra" for m in marks)
+            if calls or started:
+                yield at.lineno, at.name, next((x.strip() for x in (ast.get_docstring(at) or "").splitlines() if x.strip()), ""), calls, started
+
+
+def training_entries(files: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Functions that train: those that call a step of training on something, or that a configuration framework starts."""
+    parts = F.split("path", "/")
+    mine = files.where(F.col("path").endswith(".py") & outside(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"), COMPOSE_SKIPPED) & F.lower("content").rlike(TRAINING_TEXT))
+    fields = (("line", IntegerType()), ("name", StringType()), ("said", StringType()), ("calls", ArrayType(StringType())), ("started", BooleanType()))
+    found = _mapped(mine, by, [StructField(*f) for f in fields], lambda _, text: training_functions(text)).dropDuplicates([*by, "path", "line", "name"])
+    signals = F.when(F.size("calls") > 0, F.array_join("calls", ","))
+    return _points(found, by, "ml_training", "main_function", "path", "line", F.col("name"), F.col("said"), {"framework": F.lit("ml"), "signals": signals, "entrypoint": F.when(F.col("started"), "hydra.main")})
+
+
+def _texts(node: ast.AST | None) -> list[str]:
+    some = node.elts if isinstance(node, (ast.List, ast.Tuple)) else [node]
+    return [x.value for x in some if isinstance(x, ast.Constant) and isinstance(x.value, str)]
+
+
+def python_consumers(text: str):
+    """(order, line, symbol, language, library, api, binding, kind of name, name, callback) of each subscription."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return
+    for k, node in enumerate(ast.walk(tree)):
+        call = _called(node)
+        given = {w.arg: w.value for w in node.keywords} if call else {}
+        owner = call.value.id if call and isinstance(call.value, ast.Name) else None
+        if call and call.attr == "subscribe":
+            for topic in _texts(node.args[0] if node.args else None) or [t for t in _texts(given.get("topic")) if t][:1]:
+                yield k, node.lineno, f"{owner or 'consumer'}.subscribe:{topic}", "python", "kafka-python", "subscribe", owner or "consumer", "topic", topic, None
+        elif call and call.attr == "basic_consume":
+            queue, back = (_texts(given.get("queue")) or [""])[0], getattr(given.get("on_message_callback"), "id", "")
+            if queue or back:
+                yield k, node.lineno, back or f"{owner or 'channel'}.basic_consume:{queue}", "python", "pika", "basic_consume", owner or "channel", "queue" if queue else None, queue or None, back or None
+
+
+def script_consumers(text: str):
+    """The same of scripts; what is in comments isn't there."""
+    text = re.sub(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)", lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    ends = [m.start() for m in re.finditer("\n", text)]
+    for k, (library, api, kind, pattern) in enumerate(QUEUE_CALLS):
+        for m in re.finditer(pattern, text):
+            line, named = bisect_left(ends, m.start()) + 1, m.groupdict()
+            for name in re.findall(r"['\"]([^'\"]+)['\"]", named["list"]) if "list" in named else [named.get("named")]:
+                symbol = f"{m['binding']}.{api}:{name}" if kind else f"{m['binding']}.run:eachMessage"
+                yield k, line, symbol, "javascript", library, api, m["binding"], kind, name, None
+
+
+def queue_consumers(files: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Subscriptions to topics, queues and subjects in Python and scripts. Of equal file, line and symbol the first found counts."""
+    mine = files.where(outside(F.col("path"), QUEUE_SKIPPED))
+    suffix = F.concat(F.lit("."), F.substring_index("path", ".", -1))
+    fields = [("order", IntegerType()), ("line", IntegerType()), *((c, StringType()) for c in ("symbol", "language", "library", "api", "binding", "kind", "named", "callback"))]
+    fields = [StructField(*f) for f in fields]
+    python = _mapped(mine.where(suffix == ".py"), by, fields, lambda _, text: python_consumers(text))
+    script = _mapped(mine.where(suffix.isin(*QUEUE_SUFFIXES) & F.col("content").rlike(QUEUE_TEXT)), by, fields, lambda _, text: script_consumers(text))
+    rest = ["language", "library", "api", "binding", "kind", "named", "callback"]
+    rows = python.unionByName(script).groupBy(*by, "path", "line", "symbol").agg(F.min(F.struct("order", *rest)).alias("r")).select(*by, "path", "line", "symbol", *[f"r.{c}" for c in rest])
+    named = {k: F.when(F.col("kind") == k, F.col("named")) for k in ("topic", "queue", "subject")}
+    return _points(rows, by, "message_queue_consumer", "mq_consumer", "path", "line", F.col("symbol"), F.lit(""), {**{c: F.col(c) for c in ("language", "library", "binding", "api", "callback")}, **named})
+
+
 # ---- YAML
 
 _ENTRY = re.compile(r"^(?P<pad>[ \t]*)(?P<dash>-[ \t]+)?(?P<key>[^\s#:'\"\-][^:#]*?)[ \t]*:(?:[ \t]+(?P<value>.*?))?\s*$")

@@ -106,9 +106,38 @@ SELECT p_partkey::VARCHAR AS repo, 'fpga_toplevel_port' AS kind, CASE top WHEN '
   CASE WHEN p_partkey % 4 < 3 THEN 'constraint_file=constraints/x.xdc;' ELSE '' END || 'module=' || top || ';port_direction=' || CASE top WHEN 'wide' THEN 'input' ELSE 'output' END || ';port_width_bits=' || CASE top WHEN 'wide' THEN '8' ELSE '1' END AS metadata FROM u"""
 
 
+def training_points(spark, d):
+    """Functions that train by p_size % 3 + 1 calls, that are started with a configuration, that do neither, or that are private."""
+    head = r"CASE p_partkey % 4 WHEN 0 THEN '@hydra.main(config_path=None)\n' WHEN 1 THEN '@other.main\n' ELSE '' END"
+    name = "CASE WHEN p_partkey % 5 = 0 THEN '_f' ELSE 'f' END || p_partkey"
+    body = r"repeat('    # .fit(\n', p_size % 3) || CASE p_partkey % 3 WHEN 0 THEN '    loss.backward()\n    opt.step()\n' WHEN 1 THEN '    def inner():\n        model.fit(x)\n' ELSE '    fit(train)\n' END"
+    return _said(extractors.training_entries(_made(spark, d, "p_brand", "'src/t' || p_partkey || '.py'", f"{head} || 'def ' || {name} || r'(model):\n    \"Trains ' || p_name || '.\"\n' || {body}".replace("r'(model)", "'(model)")), by=["repo"]))
+
+
+TRAINING = """SELECT p_brand AS repo, 'main_function' AS kind, 'src/t' || p_partkey || '.py' AS file, CASE WHEN p_partkey % 4 < 2 THEN 2 ELSE 1 END::INT AS line, 'f' || p_partkey AS symbol, 'Trains ' || p_name || '.' AS docstring,
+  CASE WHEN p_partkey % 4 = 0 THEN 'entrypoint=hydra.main;' ELSE '' END || 'framework=ml' || CASE p_partkey % 3 WHEN 0 THEN ';signals=backward,step' WHEN 1 THEN ';signals=fit' ELSE '' END AS metadata
+FROM part WHERE p_partkey % 5 > 0 AND (p_partkey % 4 = 0 OR p_partkey % 3 < 2)"""
+
+
+def consumer_points(spark, d):
+    """Subscriptions in Python and scripts, under names and on lines of parts, some of them in comments."""
+    python = r"repeat('# c.subscribe(1)\n', p_size % 4) || CASE p_partkey % 3 WHEN 0 THEN 'c' || p_partkey || '.subscribe([\"' || p_type || '\", \"x\"])\n' WHEN 1 THEN 'ch.basic_consume(queue=\"' || p_type || '\")\n' ELSE 'c.subscribe(topics)\n' END"
+    script = r"repeat('// a.consume(1)\n', p_size % 4) || CASE p_partkey % 4 WHEN 0 THEN 'ch.consume(\"' || p_type || '\", f)\n' WHEN 1 THEN '/* ch.consume(\"' || p_type || '\") */\n' WHEN 2 THEN 'k.subscribe({topic: \"' || p_type || '\"})\n' ELSE 'nc.subscribe(\"' || p_type || '\", g)\n' END"
+    files = _made(spark, d, "p_brand", "'a' || p_partkey || '.py'", python).unionByName(_made(spark, d, "p_brand", "'s/b' || p_partkey || '.ts'", script))
+    return _said(extractors.queue_consumers(files, by=["repo"]))
+
+
+CONSUMERS = """WITH p AS (SELECT *, unnest(CASE p_partkey % 3 WHEN 0 THEN [p_type, 'x'] WHEN 1 THEN [p_type] ELSE [] END) AS t FROM part)
+SELECT p_brand AS repo, 'mq_consumer' AS kind, 'a' || p_partkey || '.py' AS file, (1 + p_size % 4)::INT AS line, CASE p_partkey % 3 WHEN 0 THEN 'c' || p_partkey || '.subscribe:' ELSE 'ch.basic_consume:' END || t AS symbol, '' AS docstring,
+  CASE p_partkey % 3 WHEN 0 THEN 'api=subscribe;binding=c' || p_partkey || ';language=python;library=kafka-python;topic=' ELSE 'api=basic_consume;binding=ch;language=python;library=pika;queue=' END || t AS metadata FROM p
+UNION ALL SELECT p_brand, 'mq_consumer', 's/b' || p_partkey || '.ts', (1 + p_size % 4)::INT, CASE p_partkey % 4 WHEN 0 THEN 'ch.consume:' WHEN 2 THEN 'k.subscribe:' ELSE 'nc.subscribe:' END || p_type, '',
+  CASE p_partkey % 4 WHEN 0 THEN 'api=consume;binding=ch;language=javascript;library=amqplib;queue=' WHEN 2 THEN 'api=subscribe;binding=k;language=javascript;library=kafkajs;topic=' ELSE 'api=subscribe;binding=nc;language=javascript;library=nats_or_redis;subject=' END || p_type
+FROM part WHERE p_partkey % 4 <> 1"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (package_exports, model_tasks, service_points, template_points, board_pins)}
+    return {f.__name__: f for f in (package_exports, model_tasks, service_points, template_points, board_pins, training_points, consumer_points)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"package_exports": PACKAGES, "model_tasks": MODELS, "service_points": SERVICES, "template_points": TEMPLATES, "board_pins": BOARDS}
+    return {"package_exports": PACKAGES, "model_tasks": MODELS, "service_points": SERVICES, "template_points": TEMPLATES, "board_pins": BOARDS, "training_points": TRAINING, "consumer_points": CONSUMERS}

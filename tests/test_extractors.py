@@ -11,7 +11,7 @@ def said(df):
     return sorted((r.file, r.line, r.symbol, r.docstring) for r in df.collect())
 
 
-ALL = (x.package_exports, x.compose_services, x.chart_templates, x.dbt_models, x.board_ports)
+ALL = (x.package_exports, x.compose_services, x.chart_templates, x.dbt_models, x.board_ports, x.training_entries, x.queue_consumers)
 
 
 def test_nothing_and_nulls(spark):
@@ -59,3 +59,23 @@ def test_votes_and_ties(spark):
     assert sorted((r.file, r.symbol, r.metadata["port_width_bits"], r.metadata.get("constraint_file")) for r in got) == [("a.v", "a", "1", None), ("a.v", "c", "-1", None)]  # each port of a header has its direction
     rows += [("z.lpf", 'LOCATE COMP "z" SITE "1";'), ("y.xdc", "# nothing"), ("zz.sdc", "[get_ports a]")]
     assert {r.symbol for r in x.board_ports(files(spark, rows + [("d.v", "module q(input z);\nendmodule")])).collect()} == {"z"}  # of two modules of a name the first counts
+
+
+def test_training(spark):
+    text = "@hydra.main(config_path='c')\ndef main(cfg):\n    'Starts.'\n    run(cfg)\n@hydra.main\nasync def bare(): 0\ndef step(m, o):\n    def inner(): o.step()\n    m.fit(1)\ndef _own(m): m.fit()\ndef fit(): fit()\nclass C:\n    def f(self): self.fit()\n"
+    got = x.training_entries(files(spark, [("t/a.py", text), ("tests/a.py", text), ("b.py", "def f(m): m.fit"), ("c.py", "def f(: m.fit()")])).collect()
+    assert sorted((r.file, r.line, r.symbol, r.docstring, r.metadata.get("signals"), r.metadata.get("entrypoint")) for r in got) == [
+        ("t/a.py", 2, "main", "Starts.", None, "hydra.main"), ("t/a.py", 6, "bare", "", None, "hydra.main"), ("t/a.py", 7, "step", "", "fit,step", None),
+    ]
+
+
+def test_queues(spark):
+    python = "c.subscribe(['a', 'b', x])\nc.subscribe(topic='k')\nx.y.subscribe('s')\nc.subscribe(z)\nch.basic_consume(queue='q', on_message_callback=cb)\nch.basic_consume(queue='q')\nch.basic_consume()\n"
+    script = "// a.consume('no')\nch.consume('jobs', f); ch.consume('jobs', g)\nk.subscribe({ topics: ['t1', \"t2\"] })\n/* x\n*/ n.subscribe('s.*')\nk.run({ eachMessage: f })\n"
+    got = x.queue_consumers(files(spark, [("a.py", python), ("b.ts", script), ("spec/b.ts", script), ("c.js", "d.consume ('x')"), ("b.go", script)])).collect()
+    assert sorted((r.file, r.line, r.symbol) for r in got) == [
+        ("a.py", 1, "c.subscribe:a"), ("a.py", 1, "c.subscribe:b"), ("a.py", 2, "c.subscribe:k"), ("a.py", 3, "consumer.subscribe:s"), ("a.py", 5, "cb"), ("a.py", 6, "ch.basic_consume:q"),
+        ("b.ts", 2, "ch.consume:jobs"), ("b.ts", 3, "k.subscribe:t1"), ("b.ts", 3, "k.subscribe:t2"), ("b.ts", 5, "n.subscribe:s.*"), ("b.ts", 6, "k.run:eachMessage"),
+    ]
+    about = {r.symbol: r.metadata for r in got}
+    assert about["cb"] == {"language": "python", "library": "pika", "binding": "ch", "api": "basic_consume", "queue": "q", "callback": "cb"} and about["n.subscribe:s.*"]["subject"] == "s.*"
