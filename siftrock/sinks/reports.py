@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StringType
@@ -120,18 +120,63 @@ def pretty(value: Column, level: int = 0) -> Column:
     return F.pandas_udf(run, StringType())(F.to_json(value, {"ignoreNullFields": "false"}))
 
 
-def json_list(items: DataFrame, by: Sequence[str], order: str, value: Column, report: Column, head: DataFrame, field: str) -> DataFrame:
-    """Pieces of one JSON report for each ``by``: the object of ``head`` (by, head: a struct), with the list ``field`` of all its ``items``' ``value`` as its last key.
+def json_list(items: DataFrame, by: Sequence[str], order: str, value: Column, report: Column, head: DataFrame, field: str, *, tail: bool = False) -> DataFrame:
+    """Pieces of one JSON report for each ``by``: the object of ``head`` (by, head: a struct, and tail: another if ``tail``), with the list ``field`` of all its ``items``' ``value`` as its
+    last key, or before those of the tail.
 
     A report may be of any length: an item is a piece.
     """
-    first = head.select(*by, report.alias("report"), F.lit(0).cast("long").alias("place"), pretty(F.col("head")).alias("text"))
+    after = F.concat(F.lit(",\n"), F.regexp_replace(pretty(F.col("tail")), r"^\{\n", "")) if tail else F.lit("\n}")
+    first = head.select(*by, report.alias("report"), pretty(F.col("head")).alias("text"), F.concat(after, F.lit("\n")).alias("after"))
     each = items.select(*by, F.col(order).cast("long").alias("place"), pretty(value, 2).alias("text"))
     sizes = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(order).cast("long").alias("most"), F.min(order).cast("long").alias("least"))
     first = first.join(sizes, list(by), "left")
-    opened = F.concat(F.regexp_replace("text", r"\n\}$", ""), F.lit(f',\n  "{field}": ['), F.when(F.col("n") > 0, "").otherwise("]\n}\n"))
+    opened = F.concat(F.regexp_replace("text", r"\n\}$", ""), F.lit(f',\n  "{field}": ['), F.when(F.col("n") > 0, "").otherwise(F.concat(F.lit("]"), "after")))
     heads = first.select("report", F.coalesce(F.col("least") - 1, F.lit(0)).alias("place"), opened.alias("text"))
-    listed = each.join(first.select(*by, "report", "least", "most"), list(by))
+    listed = each.join(first.select(*by, "report", "least", "most", "after"), list(by))
     between = F.when(F.col("place") > F.col("least"), ",").otherwise("")
-    listed = listed.select("report", "place", F.concat(between, F.lit("\n    "), "text", F.when(F.col("place") == F.col("most"), "\n  ]\n}\n").otherwise("")).alias("text"))
+    listed = listed.select("report", "place", F.concat(between, F.lit("\n    "), "text", F.when(F.col("place") == F.col("most"), F.concat(F.lit("\n  ]"), "after")).otherwise("")).alias("text"))
     return heads.unionByName(listed)
+
+
+def findings_json(findings: DataFrame, sets: DataFrame, by: Sequence[str], report: Column) -> DataFrame:
+    """Pieces of the reports of ``findings`` (by, tool, category, file, line, severity, code, message), one for each of ``sets`` (by, schema_version, timestamp, repo_root), also of those without any.
+
+    Findings are in the order of category, file, line and code, keys in that of their names, and counts by category come first.
+    """
+    placed = findings.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("category", "file", "line", "code", "message")))
+    sizes = findings.groupBy(*by, "category").agg(F.count(F.lit(1)).alias("n"))  # a row a category
+    sizes = sizes.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("counts"), F.sum("n").alias("total"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    head = sets.join(sizes, list(by), "left").select(
+        *by,
+        F.struct(F.coalesce("counts", none).alias("by_category")).alias("head"),
+        F.struct("repo_root", "schema_version", "timestamp", F.coalesce("total", F.lit(0)).alias("total_findings")).alias("tail"),
+    )
+    return json_list(placed, by, "place", F.struct("category", "code", "file", "line", "message", "severity", "tool"), report, head, "findings", tail=True)
+
+
+def scenarios_markdown(scenarios: DataFrame, sets: DataFrame, by: Sequence[str], report: Column) -> DataFrame:
+    """Pieces of a table of scenarios for each of ``sets`` (by, schema, timestamp, root, languages, types: an array of type, confidence and evidence), by type and family.
+
+    A piece is a scenario; the first of a type and family has their heading before it.
+    """
+    group = Window.partitionBy(*by, "type_origin", "family")
+    rows = scenarios.withColumns({"n": F.count(F.lit(1)).over(group), "k": F.row_number().over(group.orderBy("place"))})
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("type_origin", "family", "place")))
+    code = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    title = F.concat(F.lit("### "), code("type_origin"), F.lit(" × "), code("family"), F.lit(" ("), F.col("n").cast("string"), F.lit(")\n\n| id | entry | title |\n|---|---|---|\n"))
+    e = F.col("entry_point")
+    line = F.concat(F.lit("| "), code("id"), F.lit(" | "), e["file"], F.lit(":"), e["line"].cast("string"), F.lit(" "), code(e["symbol"]), F.lit(" | "), "title", F.lit(" |\n"))
+    text = F.concat(F.when(F.col("k") == 1, title).otherwise(""), line, F.when(F.col("k") == F.col("n"), "\n").otherwise(""))
+    body = rows.select(*by, F.col("at").cast("long").alias("place"), text.alias("text"))
+    sizes = scenarios.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    spoken = F.when(F.size("languages") > 0, F.array_join("languages", ", ")).otherwise("(none detected)")
+    types = F.transform("types", lambda t: F.concat(F.lit("| "), code(t["type"]), F.lit(" | "), F.format_string("%.2f", t["confidence"]), F.lit(" | "), code(F.coalesce(F.get(t["evidence"], F.lit(0)), F.lit(""))), F.lit(" |\n")))
+    types = F.when(F.size("types") > 0, F.concat(F.lit("| Type | Confidence | Evidence (first match) |\n|---|---|---|\n"), F.array_join(types, ""))).otherwise("(no types detected)\n")
+    head = F.concat(
+        F.lit("# Scenarios — "), "timestamp", F.lit("\n\n**Schema:** "), code("schema"), F.lit("\n**Codebase root:** "), code("root"), F.lit("\n**Languages:** "), spoken,
+        F.lit("\n\n## Detected software types\n\n"), types, F.lit("\n## Scenarios ("), F.coalesce("total", F.lit(0)).cast("string"), F.lit(")\n\n"),
+    )
+    heads = sets.join(sizes, list(by), "left").select(*by, F.lit(0).cast("long").alias("place"), head.alias("text"))
+    return heads.unionByName(body.join(sets.select(*by), list(by), "left_semi")).select(report.alias("report"), "place", "text")

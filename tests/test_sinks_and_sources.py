@@ -59,6 +59,30 @@ def test_scenarios_as_json(spark, tmp_path):
     assert list(first["entry_point"]) == ["kind", "file", "line", "symbol", "metadata"] and first["stimulus"]["value"] == {"entry_point": "aws.é1", "metadata": {"k": 'v"\n'}}
 
 
+def test_findings_as_json(spark, tmp_path):
+    rows = [("one", "t", "b", "f", 2, "nit", "X", 'say "é"'), ("one", "t", "a", "g", 1, "error", "Y", "m"), ("one", "t", "b", "f", 1, "nit", "X", "n")]
+    findings = spark.createDataFrame(rows, "repo string, tool string, category string, file string, line int, severity string, code string, message string")
+    sets = spark.createDataFrame([(r, "v1", "now", f"/{r}") for r in ("one", "none")], "repo string, schema_version string, timestamp string, repo_root string")
+    reports.save(reports.findings_json(findings, sets, ["repo"], F.concat("repo", F.lit(".json"))), str(tmp_path))
+    names = ("tool", "category", "file", "line", "severity", "code", "message")
+    listed_ = [dict(zip(names, r[1:])) for r in sorted(rows, key=lambda r: (r[2], r[3], r[4]))]
+    for r, some, counts in (("one", listed_, {"a": 1, "b": 2}), ("none", [], {})):
+        whole = {"schema_version": "v1", "timestamp": "now", "repo_root": f"/{r}", "total_findings": len(some), "by_category": counts, "findings": some}
+        assert (tmp_path / f"{r}.json").read_text() == json.dumps(whole, indent=2, sort_keys=True) + "\n"
+
+
+def test_scenarios_as_markdown(spark, tmp_path):
+    points = [("one", "cli_go", "x", "b.go", n, "run", None, {}) for n in (2, 1)]
+    points = spark.createDataFrame(points, "repo string, type_origin string, kind string, file string, line int, symbol string, docstring string, metadata map<string,string>")
+    types = "array<struct<type: string, confidence: double, evidence: array<string>>>"
+    sets = spark.createDataFrame([("one", "v1", "now", "/one", ["go"], [("cli_go", 0.9, ["**/main.go: main.go", "x"])]), ("none", "v1", "now", "/none", [], [])], f"repo string, schema string, timestamp string, root string, languages array<string>, types {types}")
+    reports.save(reports.scenarios_markdown(scenarios.scenarios(points, by=["repo"]), sets, ["repo"], F.concat("repo", F.lit(".md"))), str(tmp_path))
+    assert (tmp_path / "none.md").read_text() == "# Scenarios — now\n\n**Schema:** `v1`\n**Codebase root:** `/none`\n**Languages:** (none detected)\n\n## Detected software types\n\n(no types detected)\n\n## Scenarios (0)\n\n"
+    text = (tmp_path / "one.md").read_text()
+    assert "**Languages:** go\n" in text and "|---|---|---|\n| `cli_go` | 0.90 | `**/main.go: main.go` |\n\n## Scenarios (12)\n\n### `cli_go` × `adversarial_input` (2)\n\n| id | entry | title |\n|---|---|---|\n| `SCEN-0001` | b.go:1 `run` | run rejects adversarial input |\n" in text
+    assert text.count("\n### ") == 6 and text.endswith(" |\n\n") and [x.split("`")[1] for x in text.splitlines() if x.startswith("| `SCEN")][:2] == ["SCEN-0001", "SCEN-0007"]
+
+
 @pytest.fixture
 def tree(tmp_path):
     for name in (".env", "z.py", "a/b/c.py", "a/d.js", "b/e.py", "b/node_modules/f.py", "c/g.go"):
