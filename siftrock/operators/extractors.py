@@ -36,6 +36,16 @@ QUEUE_SKIPPED = (
     *COMMON, *CACHES, *SAMPLES, ".hg", ".svn", ".venv", "venv", "env", ".env", ".tox", ".pnpm-store", ".yarn", "vendor", ".cache", "out", ".next", ".nuxt", ".idea", ".vscode", "tests", "test", "__tests__", "spec", "coverage",
     "downloads_dev", "libs_dev", "builds_dev",
 )
+NODE_SUFFIXES = (".js", ".mjs", ".cjs", ".ts", ".tsx")
+NODE_NAME = r"[A-Za-z_$][\w$]*"
+#: Form and pattern; a list holds names, of which ``as`` gives the one that is public in the first of them.
+NODE_EXPORTS = (
+    ("esm_named", rf"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?(?P<declared>function|class|const|let|var)\s+(?P<name>{NODE_NAME})"),
+    ("esm_reexport", r"(?m)^\s*export\s*\{(?P<list>[^}]*)\}"),
+    ("cjs_object", r"(?m)^\s*module\.exports\s*=\s*\{(?P<list>[^}]*)\}"),
+    ("cjs_property", rf"(?m)^\s*(?:module\.)?exports\.(?P<name>{NODE_NAME})\s*="),
+)
+NODE_SKIPPED = (*QUEUE_SKIPPED, ".turbo")
 TRAINING = ("fit", "train", "step", "backward")
 TRAINING_TEXT = r"fit\(|\.train\(|\.step\(|\.backward\(|hydra"
 QUEUE_SUFFIXES = (".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx")
@@ -131,6 +141,37 @@ def package_exports(files: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     return _points(found, by, "library_python", "library_export", "path", "line", F.col("name"), F.col("said"), {"language": F.lit("python"), "scope": scope, "in_all": F.coalesce("listed", F.lit(False))})
 
 
+# ---- scripts
+
+
+def script_names(text: str):
+    """(order, line, name, form, how it is declared) of each export."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    for k, (form, pattern) in enumerate(NODE_EXPORTS):
+        for m in re.finditer(pattern, text):
+            held = m.groupdict()
+            if "list" in held:
+                pairs = re.findall(rf"({NODE_NAME})(?:\s+as\s+({NODE_NAME}))?", held["list"])
+                names = [other or name if form == "esm_reexport" else name for name, other in pairs]
+            else:
+                names = [held["name"]]
+            for name in names:
+                if name != "default" and not name.startswith("_"):
+                    yield k, bisect_left(ends, m.start()) + 1, name, form, held.get("declared")
+
+
+def script_exports(files: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Public names that modules in JavaScript and TypeScript export, in either way of modules. Of equal file, line and name the first form counts."""
+    parts, suffix = F.split("path", "/"), F.concat(F.lit("."), F.substring_index("path", ".", -1))
+    above = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+    mine = files.where(suffix.isin(*NODE_SUFFIXES) & outside(above, NODE_SKIPPED) & F.col("content").rlike(r"export |module\.exports|exports\."))
+    fields = (("order", IntegerType()), ("line", IntegerType()), ("name", StringType()), ("form", StringType()), ("declared", StringType()))
+    found = _mapped(mine, by, [StructField(*f) for f in fields], lambda _, text: script_names(text))
+    rows = found.groupBy(*by, "path", "line", "name").agg(F.min(F.struct("order", "form", "declared")).alias("r")).select(*by, "path", "line", "name", "r.form", "r.declared")
+    language = F.when(F.col("path").rlike(r"\.tsx?$"), "typescript").otherwise("javascript")
+    return _points(rows, by, "library_node", "library_export", "path", "line", F.col("name"), F.lit(""), {"language": language, "form": F.col("form"), "declared_as": F.col("declared")})
+
+
 # ---- training and queues
 
 

@@ -135,9 +135,24 @@ UNION ALL SELECT p_brand, 'mq_consumer', 's/b' || p_partkey || '.ts', (1 + p_siz
 FROM part WHERE p_partkey % 4 <> 1"""
 
 
+def script_points(spark, d):
+    """Exports in each form, under names of parts and on lines of theirs; private ones, and those of folders of tests."""
+    name = "CASE WHEN p_partkey % 6 = 0 THEN '_n' ELSE 'n' END || p_partkey"
+    said = rf"CASE p_partkey % 5 WHEN 0 THEN 'export class ' || {name} || ' {{}}\n' WHEN 1 THEN 'export {{ x as ' || {name} || ', y }} from \"z\"\n' WHEN 2 THEN 'module.exports = {{ ' || {name} || ' }}\n' WHEN 3 THEN 'exports.' || {name} || ' = 1\n' ELSE 'const ' || {name} || ' = 1\n' END"
+    path = "CASE p_size % 3 WHEN 0 THEN 'src/a' ELSE 'b' END || p_partkey || CASE p_size % 2 WHEN 0 THEN '.ts' ELSE '.cjs' END"
+    files = _made(spark, d, "p_brand", path, rf"repeat('f()\n', p_size) || {said}").unionByName(_made(spark, d, "p_brand", "'spec/' || p_partkey || '.js'", said))
+    return _said(extractors.script_exports(files, by=["repo"]))
+
+
+EXPORTS = """WITH p AS (SELECT *, CASE p_size % 3 WHEN 0 THEN 'src/a' ELSE 'b' END || p_partkey || CASE p_size % 2 WHEN 0 THEN '.ts' ELSE '.cjs' END AS file, CASE p_size % 2 WHEN 0 THEN 'typescript' ELSE 'javascript' END AS language FROM part WHERE p_partkey % 5 < 4)
+SELECT p_brand AS repo, 'library_export' AS kind, file, (p_size + 1)::INT AS line, 'n' || p_partkey AS symbol, '' AS docstring,
+  CASE p_partkey % 5 WHEN 0 THEN 'declared_as=class;form=esm_named' WHEN 1 THEN 'form=esm_reexport' WHEN 2 THEN 'form=cjs_object' ELSE 'form=cjs_property' END || ';language=' || language AS metadata FROM p WHERE p_partkey % 6 > 0
+UNION ALL SELECT p_brand, 'library_export', file, (p_size + 1)::INT, 'y', '', 'form=esm_reexport;language=' || language FROM p WHERE p_partkey % 5 = 1"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (package_exports, model_tasks, service_points, template_points, board_pins, training_points, consumer_points)}
+    return {f.__name__: f for f in (package_exports, model_tasks, service_points, template_points, board_pins, training_points, consumer_points, script_points)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"package_exports": PACKAGES, "model_tasks": MODELS, "service_points": SERVICES, "template_points": TEMPLATES, "board_pins": BOARDS, "training_points": TRAINING, "consumer_points": CONSUMERS}
+    return {"package_exports": PACKAGES, "model_tasks": MODELS, "service_points": SERVICES, "template_points": TEMPLATES, "board_pins": BOARDS, "training_points": TRAINING, "consumer_points": CONSUMERS, "script_points": EXPORTS}

@@ -11,7 +11,7 @@ def said(df):
     return sorted((r.file, r.line, r.symbol, r.docstring) for r in df.collect())
 
 
-ALL = (x.package_exports, x.compose_services, x.chart_templates, x.dbt_models, x.board_ports, x.training_entries, x.queue_consumers)
+ALL = (x.package_exports, x.compose_services, x.chart_templates, x.dbt_models, x.board_ports, x.training_entries, x.queue_consumers, x.script_exports)
 
 
 def test_nothing_and_nulls(spark):
@@ -79,3 +79,13 @@ def test_queues(spark):
     ]
     about = {r.symbol: r.metadata for r in got}
     assert about["cb"] == {"language": "python", "library": "pika", "binding": "ch", "api": "basic_consume", "queue": "q", "callback": "cb"} and about["n.subscribe:s.*"]["subject"] == "s.*"
+
+
+def test_script_exports(spark):
+    text = "export default class A {}\nexport async function f() {}\n export { a, b as c, _d, e as default } from './x'\nmodule.exports = { g, h: i }\nexports.j = 1; module.exports.k = 2\nmodule.exports._l = 3\nconst export_ = 1\nexport const a = 1, z = 2\n"
+    got = x.script_exports(files(spark, [("src/a.tsx", text), ("dist/a.js", text), ("b.py", text), ("test.js", "module.exports = {}")])).collect()
+    assert sorted((r.line, r.symbol, r.metadata["form"], r.metadata.get("declared_as")) for r in got) == [
+        (1, "A", "esm_named", "class"), (2, "f", "esm_named", "function"), (3, "a", "esm_reexport", None), (3, "c", "esm_reexport", None), (4, "g", "cjs_object", None), (4, "h", "cjs_object", None), (4, "i", "cjs_object", None),
+        (5, "j", "cjs_property", None), (8, "a", "esm_named", "const"),
+    ]
+    assert {r.metadata["language"] for r in got} == {"typescript"}
