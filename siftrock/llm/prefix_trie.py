@@ -150,7 +150,7 @@ def with_paths(nodes: DataFrame) -> DataFrame:
 def subtree_sums(nodes: DataFrame, root) -> DataFrame:
     """Nodes with n_leaves and saved_tokens, by suffix sums along heavy paths, light paths before those that they hang from."""
     spark = nodes.sparkSession
-    level = lambda n: F.floor(F.log2(n)).cast("int")
+    level = lambda n: (F.length(F.bin(n)) - 1).cast("int")  # the logarithm, rounded down, without fractions
     nodes = written(nodes.withColumn("level", level(F.col("top.n_convs"))), "trie-paths")
     is_head = (F.col("conv_id") == F.col("head_conv")) & (F.col("depth") == F.col("top.depth"))
     heads = nodes.where(is_head).where("depth > 0")

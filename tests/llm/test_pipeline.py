@@ -47,3 +47,36 @@ def test_stages_of_nothing_and_of_odd_rows(spark):
             if name != "packing":
                 assert out.columns == docs.columns
             out.collect()
+
+
+def test_run_against_plain_versions(spark):
+    """Whole run: the documents that come out are those left by quality, one of each group that all pairs of sets link, without benchmark items; every id is packed once."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = {r.doc_id: r.text for r in corpus_pipeline.good_quality(spark, docs, DATA).collect()}
+    sets = {}
+    for i, t in good.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {}
+    for i in sorted(sets):
+        if i not in root:
+            todo, root[i] = [i], i
+            while todo:
+                a = todo.pop()
+                for b in sets:
+                    if b not in root and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0):
+                        root[b] = i
+                        todo.append(b)
+    index = tiling.Index([(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()], 4)
+    want = {i for i in set(root.values()) if not tiling.held_items(index, good[i], 0.5)}
+    pieces = corpus_pipeline.run(spark, DATA).collect()
+    assert {r.doc_id for r in pieces} == want
+    held = {}
+    for r in pieces:
+        held.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    for some in held.values():
+        at = 0
+        for start, length, total in sorted(some):
+            assert start == at
+            at += length
+        assert at == some[0][2]
