@@ -324,7 +324,8 @@ def keep_one(docs: DataFrame, *, words: int = 5, similar: float | None = None, d
     found = written(found.where("doc_id IS NOT NULL").groupBy("root", "doc_id", "_key").agg(F.count(F.lit(1)).alias("_n")), "members")
     stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "_key", "_n")).alias("s"))
     stay = written(stay.select(F.col("s.doc_id").alias(doc_id), "s._key", "s._n"), "kept")
-    more = stay.where("_n > 1")
+    more = written(stay.where("_n > 1"), "repeated")
+    more = F.broadcast(more) if more.count() <= broadcast_keys else more
     gone = found.select(F.col("doc_id").alias(doc_id), "_key").join(stay.where("_n = 1"), [doc_id, "_key"], "left_anti")  # these, too, of which rows repeat
     gone = written(gone, "gone")
 
