@@ -198,14 +198,24 @@ def arcs(n: int, similar: float, seed: int = 7) -> np.ndarray:
     return np.array(out[:many])
 
 
-def _partners(limit: int, few: int):
-    """Rows (key, node, f0, root) sorted by key -> (key, node): those that have another of their key with another root, first words at most
-    ``limit`` bits apart. Under a key of more than ``few`` nodes all stay. Holds ``few`` rows beside a batch, however many a key has."""
+FOLDED = ["key", "node", "f0", "root", "n", "g0", "g1"]
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Parities (rows of words) of parts of the universe so coarse that they fit two words; they don't overstate how sets differ, either."""
+    half = bits.shape[1] // 2
+    return np.stack([np.bitwise_xor.reduce(bits[:, :half], 1), np.bitwise_xor.reduce(bits[:, half:], 1)], 1)
+
+
+def _partners(limit: int, few: int, percent: int):
+    """Rows (``FOLDED``) sorted by key -> (key, node): those that have another of their key with another root, first words at most
+    ``limit`` bits apart, that sizes and folded parities (g0, g1) allow to reach ``percent``. Under a key of more than ``few`` nodes all stay. Holds
+    ``few`` rows beside a batch, however many a key has."""
 
     def rows(key, node):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
-    def within(key, node, f0, root):
+    def within(key, node, f0, root, n, g0, g1):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         size = np.repeat(sizes, sizes)
@@ -215,13 +225,16 @@ def _partners(limit: int, few: int):
             if not len(i):
                 break
             i = i[(root[i] != root[i + d]) & (np.bitwise_count((f0[i] ^ f0[i + d]).view(np.uint64)) <= limit)]
+            j, most = i + d, set_join.allowed(n[i].astype(np.int64) + n[i + d], percent)
+            apart = sum(np.bitwise_count((g[i] ^ g[j]).view(np.uint64)).astype(np.int64) for g in (g0, g1))
+            i = i[np.maximum(apart, np.abs(n[i] - n[j])) <= most]
             keep[i] = keep[i + d] = True
         return rows(key[keep], node[keep])
 
     def run(batches):
-        held, full = [np.zeros(0, np.int64)] * 4, None  # the last key's rows so far; of a key of more than a few none
+        held, full = [np.zeros(0, np.int64)] * len(FOLDED), None  # the last key's rows so far; of a key of more than a few none
         for batch in batches:
-            now = [np.concatenate(x) for x in zip(held, (batch.column(c).to_numpy() for c in ("key", "node", "f0", "root")), strict=True)]
+            now = [np.concatenate(x) for x in zip(held, (batch.column(c).to_numpy() for c in FOLDED), strict=True)]
             held = [x[:0] for x in now]
             if full is not None:
                 n = int(np.searchsorted(now[0], full, side="right"))
@@ -255,16 +268,19 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
     odd = np.random.default_rng(3).integers(1 << 62, size=(len(masks), 5), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def keys(roots: DataFrame | None, many: int) -> DataFrame:
-        """(key, node, f0, root) of the first ``many`` arcs; without ``roots`` every node is its own."""
+        """(``FOLDED``) of the first ``many`` arcs; without ``roots`` every node is its own."""
 
         def run(batches):
             for batch in batches:
                 f = np.stack([batch.column(f"f{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
+                g = folded(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)).view(np.int64)
+                rest = [*(batch.column(c) for c in ("node", "f0", "root", "n")), *(pa.array(g[:, k].copy()) for k in range(2))]
                 for m, o in zip(masks[:many], odd[:many], strict=True):
                     key = ((f & m) * o[:4]).sum(1, dtype=np.uint64) + o[4]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c) for c in ("node", "f0", "root"))], ["key", "node", "f0", "root"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *rest], FOLDED)
 
-        return rooted(nodes, roots).select("node", "f0", "f1", "f2", "f3", "root").repartition(parts).mapInArrow(run, "key long, node long, f0 long, root long")
+        some = rooted(nodes, roots).select("node", "n", "bits", "f0", "f1", "f2", "f3", "root").repartition(parts)
+        return some.mapInArrow(run, "key long, node long, f0 long, root long, n int, g0 long, g1 long")
 
     def rooted(some: DataFrame, roots: DataFrame | None) -> DataFrame:
         if roots is None:
@@ -273,7 +289,7 @@ def similar_classes(docs: DataFrame, prints: DataFrame, *, words: int, similar:
 
     def members(roots: DataFrame | None, many: int) -> DataFrame:
         """The nodes that have a partner of another root under one of the first ``many`` arcs, in blocks of their keys."""
-        met = keys(roots, many).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_partners(quarter, FEW), "key long, node long")
+        met = keys(roots, many).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_partners(quarter, FEW, percent), "key long, node long")
         met = written(met, "ring-met").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
         some = rooted(nodes.select("node", "n", "weight", "bits"), roots)
         return written(set_join.in_blocks(met.join(some, "node")).withColumn("at_home", F.lit(True)), "ring-members")

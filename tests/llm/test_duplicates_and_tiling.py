@@ -238,3 +238,26 @@ def test_decontamination_keeps_columns(spark):
     more = spark.createDataFrame([(7, "Quick brown fox jumps"), (8, "one two three four five"), (9, "else")], "item_id long, text string")
     assert [r.doc_id for r in tiling.decontaminate(docs, more, block_chars=20).collect()] == [3]
     assert tiling.contaminated(docs.limit(0), items).count() == 0
+
+
+def test_only_what_sets_allow_to_be_linked_stays_under_a_key(spark):
+    """Alike in the first word of the ring, of other roots: a row stays only with one that sizes and parities allow, and with all of these."""
+    import pyarrow as pa
+
+    from siftrock.llm import set_join
+
+    rng, rows = np.random.default_rng(4), []
+    for key in range(40):
+        base = rng.integers(0, 2**63, 100, np.uint64)
+        for node in range(6):
+            some = base.copy()
+            k = int(rng.integers(0, 80))
+            some[:k] = rng.integers(0, 2**63, k, np.uint64)
+            rows.append((key, node, 0, node, np.unique(some)))
+    bits = [set_join.parities(set_join.mix(r[4]), simhash.PARITIES) for r in rows]
+    g = simhash.folded(np.frombuffer(b"".join(bits), np.uint64).reshape(len(rows), -1)).view(np.int64)
+    cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)] + [pa.array([len(r[4]) for r in rows], pa.int32())] + [pa.array(g[:, k].copy()) for k in range(2)]
+    got = pa.Table.from_batches(simhash._partners(23, 64, 80)(pa.RecordBatch.from_arrays(cols, simhash.FOLDED).slice(a, 50) for a in range(0, len(rows), 50)))
+    got = set(zip(got.column("key").to_pylist(), got.column("node").to_pylist()))
+    linked = {r[:2] for r in rows for s in rows if r[0] == s[0] and r[1] != s[1] and 100 * len(np.intersect1d(r[4], s[4])) >= 80 * len(np.union1d(r[4], s[4]))}
+    assert linked <= got and len(linked) <= len(got) < 0.9 * len(rows)
