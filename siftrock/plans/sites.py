@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftrock.functions.batches import spread
 from siftrock.operators import changes, dependencies, rules, scripts, syntax
 from siftrock.plans.structured import made
 from siftrock.sources.tables import table
@@ -70,7 +71,7 @@ LINES = (
 def _files(spark, d, some: tuple[tuple, ...]) -> DataFrame:
     """A file for each part: its rule's sample below p_size % 7 lines of comment, broken where p_size is even. Its folder is the rule's code."""
     s = spark.createDataFrame([(i, c, f, bad, good) for i, (c, f, bad, good, _) in enumerate(some)], "i int, code string, file string, bad string, good string")
-    p = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_partkey") % len(some)).cast("int").alias("i"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"))
+    p = spread(table(spark, d, "part")).select("p_partkey", "p_size", (F.col("p_partkey") % len(some)).cast("int").alias("i"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"))
     rows = p.join(F.broadcast(s), "i")  # the samples of one registry, whatever the data
     sample = F.replace(F.when(F.col("p_size") % 2 == 0, F.col("bad")).otherwise(F.col("good")), F.lit("§"), F.col("name"))
     sample = F.replace(sample, F.lit("¤"), F.col("p_partkey").cast("string"))
