@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftrock.functions.batches import gathered, texts
 from siftrock.operators.joins import nearest_before
 
 SITES = "path string, rule int, line_no int, start int, end int, symbol string"
@@ -109,11 +110,7 @@ def sites(files: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     names = ["path", "rule", "line_no", "start", "end", "symbol"]
 
     def run(batches):
-        for batch in batches:
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [(path, *r) for r in _places(text or "", path or "", patterns)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        return gathered(((path, *r) for path, text in texts(batches) for r in _places(text or "", path or "", patterns)), kinds, names)
 
     suffixes = {s for p in patterns for s in p.suffixes}
     if suffixes and all(p.suffixes for p in patterns):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftrock.operators.entry_points import Pattern, sites
 from siftrock.operators.nesting import NOT_CODE, SCRIPT_SUFFIXES as SUFFIXES
 from siftrock.operators.syntax import LARGE
+from siftrock.sinks.shared import written
 
 # ---- fixed values
 
@@ -72,6 +73,6 @@ def reads(found: DataFrame) -> DataFrame:
 
 
 def all_scripts(files: DataFrame) -> DataFrame:
-    found = _named(files)
+    found = written(_named(files), "script-sites")  # read by every rule
     optional = _finding(found.where("kind = 'optional'"), "OPTIONAL_CHAIN_FALLIBLE", "nit", "optional_chain_fallible", F.col("symbol"))
     return catches(found).unionByName(promises(found)).unionByName(expectations(found)).unionByName(reads(found)).unionByName(optional)
