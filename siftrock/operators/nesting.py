@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from siftrock.functions.batches import gathered, texts
 from siftrock.functions.text import LINE_BREAK, lines
+from siftrock.sinks.shared import written
 
 # ---- fixed values
 
@@ -124,11 +126,7 @@ def blocks(files: DataFrame, kinds: Sequence[Block]) -> DataFrame:
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def run(batches):
-        for batch in batches:
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [(path, *b) for b in blocks_in(text or "", kinds)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        return gathered(((path, *b) for path, text in texts(batches) for b in blocks_in(text or "", kinds)), types, names)
 
     return files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, BLOCKS)
 
@@ -142,7 +140,7 @@ SCRIPT_BLOCKS = (
 
 def script_blocks(files: DataFrame) -> DataFrame:
     """JavaScript and TypeScript: functions of more than ``MAX_LINES`` lines, tests without an assertion, queries in loops."""
-    found = blocks(_suffixed(files, SCRIPT_SUFFIXES), SCRIPT_BLOCKS)
+    found = written(blocks(_suffixed(files, SCRIPT_SUFFIXES), SCRIPT_BLOCKS), "script-blocks")  # read for each kind
     long = found.where(f"kind = 0 AND closed AND length > {MAX_LINES}")
     long = _finding(long, "FN_TOO_LONG_REGEX", "nit", "fn_too_long", F.format_string(f"JS/TS function `%s` spans %d lines (max {MAX_LINES})", F.coalesce("name", F.lit("<anonymous>")), "length"))
     base = F.substring_index("path", "/", -1)
@@ -185,10 +183,7 @@ def go_loops(files: DataFrame) -> DataFrame:
     """Go: queries inside the body of a loop."""
 
     def run(batches):
-        for batch in batches:
-            rows = [(p, *c) for p, t in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for c in looped_calls(t or "")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], ["path", "line_no", "name"])
+        return gathered(((p, *c) for p, t in texts(batches) for c in looped_calls(t or "")), (pa.string(), pa.int32(), pa.string()), ["path", "line_no", "name"])
 
     found = _suffixed(files, (".go",)).select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, CALLS)
     return _finding(found, "GO_DB_IN_LOOP", "warning", "n_plus_one", F.format_string("`.%s(...)` inside `for` block — classic N+1 anti-pattern", "name"))

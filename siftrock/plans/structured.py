@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftrock.functions.batches import spread
 from siftrock.operators import linters, nesting, python_ast
 from siftrock.sources.tables import table
 
 
 def made(spark, d, path: str, content: str, name: str = "part") -> DataFrame:
     """path and content of a file for each row of a table, as SQL expressions of its columns."""
-    return table(spark, d, name).select(F.expr(path).alias("path"), F.expr(content).alias("content"))
+    return spread(table(spark, d, name)).select(F.expr(path).alias("path"), F.expr(content).alias("content"))
 
 
 def channel_sends(spark, d):
@@ -79,7 +80,7 @@ MEASURES = """SELECT *, p_size % 8 AS ifs, p_partkey % 5 AS deep, (p_partkey % 2
 
 def function_measures(spark, d):
     """Python functions of a row's numbers of parameters, branches and depth; a class within counts, a function within and ternaries don't."""
-    t = table(spark, d, "part").selectExpr("*", "p_size % 8 AS ifs", "p_partkey % 5 AS deep", "p_partkey % 2 AS odd", "p_partkey % 3 = 0 AS own")
+    t = spread(table(spark, d, "part")).selectExpr("*", "p_size % 8 AS ifs", "p_partkey % 5 AS deep", "p_partkey % 2 AS odd", "p_partkey % 3 = 0 AS own")
     nested = r"CASE deep WHEN 0 THEN '    pass' WHEN 1 THEN '    with x:\n        pass' WHEN 2 THEN '    match x:\n        case 1:\n            while x and y:\n                pass' " \
         r"WHEN 3 THEN '    try:\n        for x in y:\n            with x:\n                pass\n    except* A:\n        pass' " \
         r"ELSE '    for x in y:\n        if x:\n            if y:\n                with z:\n                    pass' END"
