@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftrock.functions.batches import gathered, texts
+
 FUNCTIONS = "path string, line_no int, name string, length int, params int, branches int, depth int, documented boolean"
 # ---- fixed values: what branches, and what nests
 
@@ -46,12 +48,9 @@ def measures(text: str | None):
 
 def functions(files: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            rows = [(p, *m) for p, t in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) for m in measures(t)]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-            names = [c.split()[0] for c in FUNCTIONS.split(", ")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+        names = [c.split()[0] for c in FUNCTIONS.split(", ")]
+        return gathered(((p, *m) for p, t in texts(batches) for m in measures(t)), kinds, names)
 
     return files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, FUNCTIONS)
 
