@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftrock.functions.batches import spread
 from siftrock.operators import extractors
 from siftrock.sources.tables import table
 
@@ -13,7 +14,7 @@ OUT = ("repo", "kind", "file", "line", "symbol", "docstring")
 
 
 def _made(spark, d, repo: str, path: str, content: str, where: str = "true") -> DataFrame:
-    return table(spark, d, "part").where(where).select(F.expr(repo).cast("string").alias("repo"), F.expr(path).alias("path"), F.expr(content).alias("content"))
+    return spread(table(spark, d, "part").where(where)).select(F.expr(repo).cast("string").alias("repo"), F.expr(path).alias("path"), F.expr(content).alias("content"))
 
 
 def _said(points: DataFrame) -> DataFrame:

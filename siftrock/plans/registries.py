@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftrock.functions.batches import spread
 from siftrock.functions.text import glob_regex
 from siftrock.operators import classify, domains, scenarios, software
 from siftrock.sources.tables import table
@@ -57,7 +58,7 @@ def _plain(pattern: str) -> str:
 def repositories(spark, d, slots: list[tuple], kinds: int) -> DataFrame:
     """repo, path, content: for each part the files of two kinds, but for one slot in some."""
     s = spark.createDataFrame(slots, "i int, j int, path string, texts array<string>")
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("repo"), "p_size", F.explode(F.array((F.col("p_partkey") % kinds).cast("int"), F.col("p_size") % kinds)).alias("i"))
+    p = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("repo"), "p_size", F.explode(F.array((F.col("p_partkey") % kinds).cast("int"), F.col("p_size") % kinds)).alias("i"))
     rows = p.join(F.broadcast(s), "i").where("(repo + j) % 5 > 0")  # the registry's slots, a few hundred rows whatever the data
     return rows.select("repo", "path", F.get("texts", ((F.col("p_size") + F.col("j")) % F.size("texts")).cast("int")).alias("content"))
 
