@@ -11,8 +11,8 @@ personal data tends to hold others, so boosted depth-two trees predict, from a c
 document holds a base span of another kind. Numbers, versions and the like do so as seldom as any document; unlisted forms of
 personal data as often as base spans do. With B the rate of all documents, V that of base spans and A that of the
 candidates at a score or above (its lower confidence bound), their precision is about (A - B) / (V - B). A kind's threshold is the
-lowest that keeps ``precision``, by scores of trees fitted on the other half of the sample (``train_rows``); a kind for
-which none does adds nothing. The fitted trees are one SQL expression.
+lowest that keeps ``precision``, by scores of trees fitted on the other half of the candidates; a kind for
+which none does adds nothing. Trees, rates and thresholds come from every candidate of every text. The fitted trees are one SQL expression.
 
 Defined results: null and empty texts have no spans. Rows are handled one by one, so repeated rows
 and null or repeated ids do no harm. Offsets are code points. Columns of any name stay; ``detect`` replaces ``base`` and ``spans``. Patterns
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, hash_cut, written
+from .shared import free_name, written
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
@@ -122,7 +122,10 @@ FEATURES = {
     "technical": "int(lower(x.l) RLIKE '(token|key|id|version|hash|commit|isbn|doi|port|page|line|no)[^a-z]*$')",
     "kind": "array_position(array('email', 'ip', 'card', 'phone', 'secret'), x.kind)",
 }
-_VECTOR = "array(" + ", ".join(f"double({e})" for e in FEATURES.values()) + ")"
+#: Cells of a feature (whole numbers up to 31, from there on 16 to an octave), parts of one in sums, steps of a margin of one and the widest margin told apart.
+CELLS, ONE, STEPS, WIDEST = 512, 1 << 24, 1 << 10, 32
+_OCTAVE = "(length(bin(v)) - 5)"
+_VECTOR = f"transform(array({', '.join(FEATURES.values())}), v -> CASE WHEN v < 32 THEN v ELSE 16 * {_OCTAVE} + shiftright(v, {_OCTAVE}) END)"
 
 
 def candidates(generated: DataFrame, out: str) -> DataFrame:
@@ -150,61 +153,43 @@ def candidates(generated: DataFrame, out: str) -> DataFrame:
 
 
 class Boosted:
-    """Depth-two regression trees on the logistic loss, fitted with numpy and written out as SQL."""
+    """Depth-two regression trees on the logistic loss, grown from sums by feature and cell and written out as SQL."""
 
     def __init__(self, rounds: int = 30, rate: float = 0.25, l2: float = 2.0):
         self.rounds, self.rate, self.l2, self.bias, self.trees = rounds, rate, l2, 0.0, []
 
-    def _best(self, x, g, h, rows):
-        best = (1e-9, None, None)
-        gt, ht = g[rows].sum(), h[rows].sum()
-        whole = gt * gt / (ht + self.l2)
-        for j in range(x.shape[1]):
-            v = x[rows, j]
-            order = np.argsort(v, kind="stable")
-            vs, gs, hs = v[order], np.cumsum(g[rows][order]), np.cumsum(h[rows][order])
-            cut = np.nonzero(vs[1:] > vs[:-1])[0]
-            if len(cut):
-                gain = gs[cut] ** 2 / (hs[cut] + self.l2) + (gt - gs[cut]) ** 2 / (ht - hs[cut] + self.l2) - whole
-                i = int(np.argmax(gain))
-                if gain[i] > best[0]:
-                    best = (float(gain[i]), j, float((vs[cut[i]] + vs[cut[i] + 1]) / 2))
-        return best
+    def start(self, mean: float) -> Boosted:
+        rate = min(max(mean, 1e-3), 1 - 1e-3)
+        self.bias = float(np.log(rate / (1 - rate)))
+        return self
+
+    def leaf(self, g: float, h: float) -> float:
+        return float(-self.rate * g / (h + self.l2))
+
+    def best(self, some: np.ndarray):
+        """(feature, cut, sums to its left, sums to its right) of the best cut of a node, or None; ``some``: rows, gradients and curvatures by feature and cell."""
+        left = some.cumsum(axis=2)
+        whole = left[:, :1, -1:]
+        (g, h), (gt, ht) = left[1:] / ONE, whole[1:] / ONE
+        gain = g**2 / (h + self.l2) + (gt - g) ** 2 / (ht - h + self.l2) - gt * gt / (ht + self.l2)
+        gain[(some[0] == 0) | (left[0] == whole[0])] = -1  # cuts lie behind cells that hold rows, but for a feature's last
+        j, v = np.unravel_index(int(np.argmax(gain)), gain.shape)
+        if gain[j, v] <= 1e-9:
+            return None
+        after = v + 1 + int(np.flatnonzero(some[0, j, v + 1 :])[0])
+        return int(j), float(v + after) / 2, left[1:, j, v] / ONE, (left[1:, j, -1] - left[1:, j, v]) / ONE
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.bias = float(np.log(rate / (1 - rate)))
-        f = np.full(len(y), self.bias)
-        for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-f))
-            g, h = p - y, p * (1 - p)
-            leaves, rows = [], [(np.arange(len(y)), ())]
-            for _depth in range(2):
-                nxt = []
-                for r, path in rows:
-                    _, j, t = self._best(x, g, h, r)
-                    if j is None:
-                        leaves.append((r, path))
-                    else:
-                        left = x[r, j] <= t
-                        nxt += [(r[left], (*path, (j, t, True))), (r[~left], (*path, (j, t, False)))]
-                rows = nxt
-            tree = []
-            for r, path in leaves + rows:
-                w = -self.rate * g[r].sum() / (h[r].sum() + self.l2)
-                f[r] += w
-                tree.append((path, float(w)))
-            self.trees.append(tree)
+        """Of rows in memory, by the same sums."""
+        x, n, fixed = x.astype(int), np.ones(len(y), int), np.rint(y * ONE).astype(int)
+        grow([self.start(y.mean())], lambda models, nodes: sums(x, n, fixed, np.zeros(len(y), int), models, nodes))
         return self
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         f = np.full(len(x), self.bias)
         for tree in self.trees:
             for path, w in tree:
-                hit = np.ones(len(x), bool)
-                for j, t, left in path:
-                    hit &= (x[:, j] <= t) == left
-                f[hit] += w
+                f[_reached(x, path)] += w
         return f
 
     def sql(self, vector: str) -> str:
@@ -218,11 +203,117 @@ class Boosted:
         return f"({self.bias!r}D" + "".join(f" + {case(t)}" for t in self.trees) + ")"
 
 
-def fit(found: DataFrame, out: str, *, train_rows: int = 6000, precision: float = 0.8, z: float = 1.0):
-    """(model, {kind: threshold margin}) from at most ``train_rows`` candidates, base spans among them. Only numbers come to the driver.
+def _reached(x: np.ndarray, path) -> np.ndarray:
+    hit = np.ones(len(x), bool)
+    for j, t, left in path:
+        hit &= (x[:, j] <= t) == left
+    return hit
 
-    The sample keeps the candidates with the smallest hashes, so it doesn't depend on partitioning. Equal matches
-    after equal contexts count once, with the mean of what their documents say: they are merged within each task before any shuffle.
+
+def sums(x: np.ndarray, n: np.ndarray, y: np.ndarray, half: np.ndarray, models: list[Boosted], nodes) -> np.ndarray:
+    """Rows, gradients and curvatures of each node (a model's place, a path) by feature and cell. Models 0 and 1 learn from that half, any other from all rows
+    (a single one, too). ``n`` rows share a vector, ``y`` is the sum of theirs in parts of ``ONE``. All are whole numbers, so the order of rows doesn't matter."""
+    width = x.shape[1]
+    cells = x + np.arange(width) * CELLS
+    out = np.zeros((len(nodes), 3, width, CELLS), np.int64)
+    for k, model in enumerate(models):
+        mine = [i for i, node in enumerate(nodes) if node[0] == k]
+        if not mine:
+            continue
+        p = 1 / (1 + np.exp(-model.margin(x)))
+        parts = (n, np.rint(n * p * ONE).astype(np.int64) - y, np.rint(n * p * (1 - p) * ONE).astype(np.int64))
+        of = np.ones(len(n), bool) if k > 1 or len(models) == 1 else half == k
+        for i in mine:
+            rows = of & _reached(x, nodes[i][1])
+            for c, part in enumerate(parts):
+                np.add.at(out[i, c].reshape(-1), cells[rows], part[rows, None])
+    return out
+
+
+def grow(models: list[Boosted], summed) -> None:
+    """A tree a round for every model. ``summed(models, nodes)`` gives what ``sums`` gives, of all rows there are."""
+    for _ in range(models[0].rounds):
+        trees, nodes = [[] for _ in models], [(k, ()) for k in range(len(models))]
+        for depth in range(2):
+            deeper = []
+            for (k, path), some in zip(nodes, summed(models, nodes) if nodes else (), strict=True):
+                cut = models[k].best(some)
+                if cut is None:
+                    trees[k].append((path, models[k].leaf(*(some[1:, 0].sum(axis=1) / ONE))))
+                    continue
+                j, t, *sides = cut
+                for left, (g, h) in zip((True, False), sides, strict=True):
+                    if depth == 0:
+                        deeper.append((k, ((j, t, left),)))
+                    else:
+                        trees[k].append(((*path, (j, t, left)), models[k].leaf(g, h)))
+            nodes = deeper
+        for model, tree in zip(models, trees, strict=True):
+            model.trees.append(tree)
+
+
+def _array(values) -> str:
+    return "array(" + ", ".join(v if isinstance(v, str) else f"{v!r}D" for v in values) + ")"
+
+
+def _flat(tree) -> list[float]:
+    """A tree as feature and cut of its root, then of either side feature, cut and two weights; a cut that isn't there lies above all cells."""
+    paths = dict(tree)
+    root = next((path[0][:2] for path in paths if path), (0, float(CELLS)))
+    out = [float(root[0]), root[1]]
+    for left in (True, False):
+        way = ((*root, left),)
+        below = next((path[1][:2] for path in paths if path[:1] == way and len(path) == 2), None)
+        if below is None:
+            w = paths.get(way, paths.get((), 0.0))
+            out += [0.0, float(CELLS), w, w]
+        else:
+            out += [float(below[0]), below[1], paths[(*way, (*below, True))], paths[(*way, (*below, False))]]
+    return out
+
+
+def _margin(models: list[Boosted], k: str) -> str:
+    """The margin of ``f`` by the model whose place is ``k``. The trees are constants of the plan, so that one compiled plan does for all rounds."""
+    trees = _array([_array([_array(_flat(t)) for t in m.trees]) if m.trees else "cast(array() as array<array<double>>)" for m in models])
+    weight = "IF(f[int(t[0])] <= t[1], IF(f[int(t[2])] <= t[3], t[4], t[5]), IF(f[int(t[6])] <= t[7], t[8], t[9]))"
+    return f"aggregate({trees}[{k}], {_array([m.bias for m in models])}[{k}], (a, t) -> a + {weight})"
+
+
+def _summed(vectors: DataFrame):
+    """``sums`` over a table of vectors, as an aggregate by node, feature and cell."""
+    each = vectors.selectExpr("explode(array(half, 2)) AS k", "f", "n", "y")  # a row teaches the model of its half and that of all
+
+    def job(models, nodes):
+        at = {}  # of each model: feature and cut of the path, nodes to the left and right of it
+        for i, (k, path) in enumerate(nodes):
+            j, t, left = path[0] if path else (0, float(CELLS), True)
+            at.setdefault(k, [float(j), t, -1.0, -1.0])[2 if left else 3] = float(i)
+        cuts = f"{_array([_array(at.get(k, [0.0, float(CELLS), -1.0, -1.0])) for k in range(len(models))])}[k]"
+        some = each.selectExpr("f", "n", "y", f"int(IF(f[int({cuts}[0])] <= {cuts}[1], {cuts}[2], {cuts}[3])) AS node", f"1 / (1 + exp(-{_margin(models, 'k')})) AS p").where("node >= 0")
+        parts = some.selectExpr("node", "posexplode(f) AS (feature, cell)", "n", f"bigint(round(n * p * {ONE})) - y AS g", f"bigint(round(n * p * (1 - p) * {ONE})) AS h")
+        got = parts.groupBy("node", "feature", "cell").agg(*[F.sum(c).alias(c) for c in ("n", "g", "h")]).toArrow()
+        node, feature, cell, *totals = (got.column(c).to_numpy() for c in ("node", "feature", "cell", "n", "g", "h"))
+        out = np.zeros((len(nodes), 3, len(FEATURES), CELLS), np.int64)
+        for c, total in enumerate(totals):
+            out[node, c, feature, cell] = total
+        return out
+
+    return job
+
+
+def _scored(vectors: DataFrame, models: list[Boosted]) -> DataFrame:
+    """kind, step, n, y: the open candidates by score, in steps of margin, from the trees that didn't learn from their half."""
+    step = f"bigint(greatest(least(floor({_margin(models, '(1 - half)')} * {STEPS}), {WIDEST * STEPS}), {-WIDEST * STEPS})) AS step"
+    some = vectors.where("base = 0").selectExpr(f"f[{len(FEATURES) - 1}] AS kind", step, "n", "y")
+    return some.groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+
+
+def fit(found: DataFrame, out: str, *, precision: float = 0.8, z: float = 1.0):
+    """(model, {kind: threshold margin}) from every candidate, base spans among them.
+
+    Equal matches after equal contexts count once, with the mean of what their documents say: they are merged within each task before
+    any shuffle. They then become counts by vector, in a written table, which each level of a round's trees reads once: gradients are summed by node, feature and cell, and
+    only these sums, bounded however long the table, come to the driver. Two of the models learn from a half each, to score the other one's candidates for the thresholds.
     Where base spans agree no more than any documents do, nothing is learned: (None, {}).
     """
     docs = found.select(F.expr(f"`{out}`.base").alias("base"), F.expr(f"`{out}`.open").alias("open"))
@@ -230,34 +321,37 @@ def fit(found: DataFrame, out: str, *, train_rows: int = 6000, precision: float
     kinds = docs.where("size(base) + size(open) > 0").withColumn("kinds", F.expr("array_distinct(transform(base, b -> b.kind))"))
     each = kinds.selectExpr(
         "kinds", "explode(concat(transform(base, x -> named_struct('base', 1, 'x', x)), transform(open, x -> named_struct('base', 0, 'x', x)))) AS c"
-    ).selectExpr("c.base AS base", "c.x AS x", "double(size(array_remove(kinds, c.x.kind)) > 0) AS y", "xxhash64(c.x.kind, c.x.v, c.x.l) AS hash")
-    cut = hash_cut(train_rows, each.agg(F.approx_count_distinct("hash")).first()[0])
-    some = each if cut is None else each.where(F.col("hash") <= cut)
-    both = some.groupBy("hash", "base").agg(F.min("x").alias("x"), F.avg("y").alias("y")).orderBy("hash", "base").limit(train_rows)
-    sample = both.selectExpr("base", "y", "hash", f"{_VECTOR} AS f").collect()
-    if not sample:
+    ).selectExpr("kinds", "c.base AS base", "c.x AS x")
+    each = each.selectExpr("base", f"named_struct('s', x.s, 'e', x.e, 'r', x.r, 'f', {_VECTOR}) AS x", "double(size(array_remove(kinds, x.kind)) > 0) AS y", "xxhash64(x.kind, x.v, x.l) AS hash")
+    once = each.groupBy("hash", "base").agg(F.min("x").alias("x"), F.avg("y").alias("y")).selectExpr("base", "int(hash & 1) AS half", "x.f AS f", f"bigint(round(y * {ONE})) AS y")
+    vectors = written(once.groupBy("half", "base", "f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")), "pii_vectors")
+    counts = {(r.half, r.base): (r.n, r.y / ONE) for r in vectors.groupBy("half", "base").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()}
+    if {h for h, _ in counts} != {0, 1} or {b for _, b in counts} != {0, 1}:
         return None, {}
-    x, y = np.array([r.f for r in sample], float), np.array([r.y for r in sample])
-    base, half = np.array([r.base for r in sample]) == 1, np.array([r.hash & 1 for r in sample]) == 1
-    if not base.any() or base.all() or not half.any() or half.all():
+
+    def mean(some):
+        n, y = np.sum([v for k, v in counts.items() if some(*k)], axis=0)
+        return float(y / n)
+
+    everywhere, valid = every.held / every.n, mean(lambda half, base: base == 1)
+    if valid <= everywhere:
         return None, {}
-    everywhere, margin = every.held / every.n, np.zeros(len(y))
-    for side in (half, ~half):
-        margin[side] = Boosted().fit(x[~side], y[~side]).margin(x[side])
-    thresholds, kind, valid = {}, x[:, -1].astype(int), y[base].mean()
+    models = [Boosted().start(mean(lambda half, base, k=k: half == k)) for k in (0, 1)] + [Boosted().start(mean(lambda half, base: True))]
+    grow(models, _summed(vectors))
+    scored = np.array(sorted(map(tuple, _scored(vectors, models).collect())), np.int64).reshape(-1, 4)[::-1]
+    thresholds = {}
     for i, name in enumerate(ALL_KINDS, 1):
-        mine = ~base & (kind == i)
-        if not mine.any() or valid <= everywhere:
+        mine = scored[scored[:, 0] == i]
+        if not len(mine):
             continue
-        order = np.argsort(-margin[mine], kind="stable")
-        scores, n = margin[mine][order], np.arange(1, mine.sum() + 1)
-        rate = np.cumsum(y[mine][order]) / n
-        low = (rate + z * z / (2 * n) - z * np.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))) / (1 + z * z / n)  # Wilson's bound
-        below = np.append(scores[1:], scores[-1] - 1)
-        good = np.flatnonzero(((low - everywhere) / (valid - everywhere) >= precision) & (below < scores))
-        if len(good):  # between that score and the next below it, as the trees of the whole sample score a little differently
-            thresholds[name] = float(scores[good[-1]] + below[good[-1]]) / 2
-    return (Boosted().fit(x, y), thresholds) if thresholds else (None, {})
+        steps, n = mine[:, 1], np.cumsum(mine[:, 2])
+        rate = np.cumsum(mine[:, 3]) / ONE / n
+        low = (rate + z * z / (2 * n) - z * np.sqrt(np.maximum(rate * (1 - rate), 0) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)  # Wilson's bound
+        below = np.append(steps[1:] + 1, steps[-1] - STEPS)
+        good = np.flatnonzero((low - everywhere) / (valid - everywhere) >= precision)
+        if len(good):  # between that step and the next below it, as the trees of all candidates score a little differently
+            thresholds[name] = float(steps[good[-1]] + below[good[-1]]) / 2 / STEPS
+    return (models[2], thresholds) if thresholds else (None, {})
 
 
 def select_spans(found: DataFrame, out: str, model, thresholds: dict[str, float]) -> DataFrame:

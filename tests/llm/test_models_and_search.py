@@ -144,6 +144,45 @@ def test_what_the_trees_add(spark):
         assert r.text == plain_redaction(got[r.doc_id].text, [tuple(x) for x in got[r.doc_id].spans])
 
 
+def test_trees_and_thresholds_come_from_every_candidate(spark):
+    """More candidates than the 6,000 that were once taken: trees and thresholds are those of all rows in memory, and don't depend on partitions."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(4000):
+        parts = [f"paid {rng.randrange(10**15, 10**16)} then"] if i % 2 else [f"isbn: {rng.randrange(10**15, 10**16)}" + "x" * rng.randrange(60)]
+        parts += rng.sample([f"write to a{i}@c.de", f"call +1 (555) 123-{1000 + i}", f"in 300.{i}.1.2"], 2 if rng.random() < (0.9 if i % 2 else 0.1) else 0)
+        rows.append((i, " then ".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.candidates(pii.generate(docs, "found"), "found").cache()
+    model, thresholds = pii.fit(found, "found")
+    again = pii.fit(found.repartition(7), "found")
+    assert (again[0].trees, again[1]) == (model.trees, thresholds) and "card" in thresholds
+    each = found.selectExpr("explode(concat(transform(found.base, x -> named_struct('base', 1, 'x', x)), transform(found.open, x -> named_struct('base', 0, 'x', x)))) AS c", "found.base.kind AS kinds")
+    each = each.selectExpr("c.base", "c.x", "c.x.kind", "kinds", "xxhash64(c.x.kind, c.x.v, c.x.l) AS hash").selectExpr("base", "kind", "kinds", "hash", f"{pii._VECTOR} AS f")
+    seen = {}
+    for r in each.collect():
+        seen.setdefault((r.hash, r.base), (r.f, []))[1].append(float(any(k != r.kind for k in r.kinds)))
+    assert len(seen) > 8000
+    x, y = np.array([f for f, _ in seen.values()]), np.array([np.mean(v) for _, v in seen.values()])
+    half, base = np.array([h & 1 for h, _ in seen]), np.array([b for _, b in seen])
+    whole = pii.Boosted().fit(x, y)
+    assert np.isclose(whole.bias, model.bias) and np.allclose(whole.margin(x), model.margin(x), atol=1e-3)
+    scores = np.where(half == 1, pii.Boosted().fit(x[half == 0], y[half == 0]).margin(x), pii.Boosted().fit(x[half == 1], y[half == 1]).margin(x))
+    everywhere, valid = np.mean([bool(r.b) for r in found.selectExpr("found.base AS b").collect()]), y[base == 1].mean()
+    for i, kind in enumerate(pii.ALL_KINDS, 1):
+        fits = []
+        for limit in sorted(set(scores[(base == 0) & (x[:, -1] == i)])):
+            some = y[(base == 0) & (x[:, -1] == i) & (scores >= limit)]
+            n, rate = len(some), some.mean()
+            low = (rate + 1 / (2 * n) - np.sqrt(rate * (1 - rate) / n + 1 / (4 * n * n))) / (1 + 1 / n)
+            fits.append((limit, (low - everywhere) / (valid - everywhere) >= 0.8))
+        good = [limit for limit, fit in fits if fit]
+        assert (kind in thresholds) == bool(good)
+        if good:  # it lies behind the lowest that fits and before the next below
+            lower = [limit for limit, _ in fits if limit < good[0]]
+            assert (lower[-1] if lower else good[0] - 1.01) - 0.01 <= thresholds[kind] <= good[0] + 0.01
+
+
 def test_many_spans_take_time_in_proportion(spark):
     text = " ".join(f"a{i}@b.co 10.0.{i % 256}.1 {i}" for i in range(2000))
     df = spark.createDataFrame([(1, text), (2, "é" * 5000 + " a@b.co")], "doc_id long, text string")
