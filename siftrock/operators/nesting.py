@@ -204,7 +204,8 @@ def sends_after_close(files: DataFrame) -> DataFrame:
     """Go: the first line of the next ``SEND_WITHIN`` below the closing of a channel that sends to it first of all. Comments and
     strings, however many lines they take, are no code. Works on a file's array of lines, so nothing is shuffled."""
     content = F.split(code_only(F.col("content")), LINE_BREAK)
-    files = files.select("path", content.alias("_lines"))
+    sending = [F.col("content").cast("string").contains(c) for c in "(<-"]  # leaving comments and strings out adds no characters
+    files = files.where(sending[0] & sending[1] & sending[2]).select("path", content.alias("_lines"))
     each = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_extract(x, CLOSE, 1).alias("name"), F.regexp_extract(x, SEND, 1).alias("to")))
     split = files.select("path", each.alias("_lines")).where(F.exists("_lines", lambda x: x["name"] != ""))
     closed = split.select("path", "_lines", F.explode(F.filter("_lines", lambda x: x["name"] != "")).alias("c"))

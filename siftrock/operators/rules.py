@@ -50,6 +50,8 @@ BANNERS = (
     r"\bautogenerated\b",
     r"This file is automatically generated",
 )
+#: Every banner holds one of these.
+BANNER_WORDS = "generated|DO NOT EDIT|AUTOGENERATED FILE"
 OLD_NAME = r"\b([A-Za-z_][A-Za-z0-9_]{1,}(?:_v\d+|_old|_new|_legacy|_deprecated|_v2))\b"
 TENANT = r"tenant_id|tenantId|org_id|orgId|organization_id|organizationId|workspace_id|workspaceId|account_id|accountId|tenant"
 QUERIES = {
@@ -75,17 +77,32 @@ def _finding(rows: DataFrame, code, severity, category, message: Column) -> Data
     return rows.select("path", F.col("line_no").alias("line"), lit(severity).alias("severity"), lit(category).alias("category"), lit(code).alias("code"), message.alias("message"))
 
 
+def _is(code, severity, category, message: Column) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(lit(code).alias("code"), lit(severity).alias("severity"), lit(category).alias("category"), message.alias("message"))
+
+
+def _in_lines(files: DataFrame, *rules) -> DataFrame:
+    """What the rules find in single lines, in one reading. A rule gives columns that it takes from a line, each computed once a line, and the array of what follows from them."""
+    taken = {name: column for _, columns, _ in rules for name, column in columns.items()}
+    each = lines(files).select("path", "line_no", *[c.alias(name) for name, c in taken.items()])
+    found = F.concat(*[F.when(holds, then).otherwise(F.array().cast(_FOUND)) for holds, _, then in rules])
+    # outer: the optimizer would look into the arrays twice, once to see whether they are empty
+    return each.select("path", F.col("line_no").alias("line"), F.explode_outer(found).alias("f")).where("f IS NOT NULL").select("path", "line", "f.severity", "f.category", "f.code", "f.message")
+
+
+_FOUND = "array<struct<code:string,severity:string,category:string,message:string>>"
+
 # ---- single lines
 
 
-def hardcoded(files: DataFrame) -> DataFrame:
-    """The first of url, ip, path, port and number that a line holds, one finding a line."""
-    fit = lines(files).where(~F.lower("line").rlike(SAMPLES) & ~F.col("line").rlike(COMMENT))
+def _hardcoded():
     line = F.col("line")
+    fit = ~F.lower("line").rlike(SAMPLES) & ~line.rlike(COMMENT)
     quoted = F.coalesce(first_match(line, PATH, 1), first_match(line, PATH, 2))
     bare = F.transform(all_matches(line, NUMBER, 1), lambda x: F.ltrim(x, F.lit("0")))
     odd = F.filter(bare, lambda x: ((F.length(x) > 3) | ((F.length(x) == 3) & (x > "100"))) & ~x.isin(*COMMON_NUMBERS))
-    found = fit.select("path", "line_no", first_match(line, URL).alias("url"), first_match(line, IP).alias("ip"), quoted.alias("quoted"), first_match(line, PORT, 1).alias("port"), F.get(odd, F.lit(0)).alias("number"))
+    taken = {"url": first_match(line, URL), "ip": first_match(line, IP), "quoted": F.when(line.rlike("[\"']"), quoted), "port": first_match(line, PORT, 1), "number": F.get(odd, F.lit(0))}
     kinds = (
         ("HARDCODED_URL", F.col("url").isNotNull(), F.concat(F.lit("URL literal `"), F.substring("url", 1, 80))),
         ("HARDCODED_IP", F.col("ip").rlike(IP_PARTS) & (F.col("ip") != "0.0.0.0"), F.concat(F.lit("IPv4 literal `"), "ip")),
@@ -97,8 +114,33 @@ def hardcoded(files: DataFrame) -> DataFrame:
     for name, holds, text in kinds:
         code = F.when(holds, name) if code is None else code.when(holds, name)
         message = F.when(holds, text) if message is None else message.when(holds, text)
-    out = found.select("path", "line_no", code.alias("code"), F.concat(message, F.lit("`")).alias("message")).where("code IS NOT NULL")
-    return _finding(out, F.col("code"), "nit", "hardcoded_config", F.col("message"))
+    return code.isNotNull(), {n: F.when(fit, c) for n, c in taken.items()}, F.array(_is(code, "nit", "hardcoded_config", F.concat(message, F.lit("`"))))
+
+
+def _old_names():
+    names = F.when(F.col("line").rlike(OLD_NAME), F.array_distinct(all_matches(F.col("line"), OLD_NAME, 1)))
+    return F.col("names").isNotNull(), {"names": names}, F.transform("names", lambda n: _is("DEPRECATED_NAME_SUFFIX", "nit", "orphan_naming", n))
+
+
+def _schema_changes():
+    line, migration = F.col("line"), F.col("path").cast("string").rlike(r"(?:^|/)(?:migrations?|alembic|versions)/")
+    code = F.when(line.rlike(r"(?i)^\s*ALTER\s+TABLE\b"), "ALTER_TABLE_OUTSIDE_MIGRATION").when(line.rlike(r"(?i)^\s*DROP\s+TABLE\b"), "DROP_TABLE_OUTSIDE_MIGRATION")
+    taken = {"change": F.when(~migration, code), "line": line}
+    return F.col("change").isNotNull(), taken, F.array(_is(F.col("change"), "warning", "schema_change_outside_migration", F.trim("line")))
+
+
+def _comment_contradictions():
+    line, value = F.col("line"), F.regexp_extract("line", NUMBER_COMMENT, 1)
+    others = F.filter(all_matches(F.regexp_extract("line", NUMBER_COMMENT, 2), ANY_NUMBER), lambda x: x != F.regexp_extract("line", NUMBER_COMMENT, 1))
+    fits = line.rlike(NUMBER_COMMENT)
+    taken = {"value": F.when(fits, value), "others": F.when(fits, others)}
+    message = F.concat("value", F.lit(": "), F.array_join("others", ", "))
+    return F.size("others") > 0, taken, F.array(_is("COMMENT_CONTRADICTS_LITERAL", "nit", "comment_contradicts_literal", message))
+
+
+def hardcoded(files: DataFrame) -> DataFrame:
+    """The first of url, ip, path, port and number that a line holds, one finding a line."""
+    return _in_lines(files, _hardcoded())
 
 
 def names_in_lines(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
@@ -112,30 +154,26 @@ def env_references(files: DataFrame) -> DataFrame:
 
 
 def old_names(files: DataFrame) -> DataFrame:
-    return _finding(names_in_lines(files, [OLD_NAME]), "DEPRECATED_NAME_SUFFIX", "nit", "orphan_naming", F.col("name"))
+    return _in_lines(files, _old_names())
 
 
 def banners(files: DataFrame) -> DataFrame:
     """Files whose first 50 lines hold a generator's banner, reported at line 1."""
     head = F.array_join(F.slice(line_array(F.col("content")), 1, 50), "\n")
-    said = F.coalesce(*[first_match(head, p) for p in BANNERS])
-    rows = files.select("path", F.lit(1).alias("line_no"), said.alias("said")).where("said IS NOT NULL")
+    said = F.coalesce(*[first_match(F.col("head"), p) for p in BANNERS])
+    # heads by a generator: filters on them would go below a projection and cut every file again for each pattern
+    heads = files.where(F.col("content").cast("string").rlike(BANNER_WORDS)).select("path", F.explode_outer(F.array(head)).alias("head"))
+    rows = heads.select("path", F.lit(1).alias("line_no"), said.alias("said")).where("said IS NOT NULL")
     return _finding(rows, "GENERATED_BANNER_PRESENT", "info", "generated_drift", F.col("said"))
 
 
 def schema_changes(files: DataFrame) -> DataFrame:
-    code = F.when(F.col("line").rlike(r"(?i)^\s*ALTER\s+TABLE\b"), "ALTER_TABLE_OUTSIDE_MIGRATION").when(F.col("line").rlike(r"(?i)^\s*DROP\s+TABLE\b"), "DROP_TABLE_OUTSIDE_MIGRATION")
-    rows = lines(files.where(~F.col("path").cast("string").rlike(r"(?:^|/)(?:migrations?|alembic|versions)/"))).withColumn("code", code).where("code IS NOT NULL")
-    return _finding(rows, F.col("code"), "warning", "schema_change_outside_migration", F.trim("line"))
+    return _in_lines(files, _schema_changes())
 
 
 def comment_contradictions(files: DataFrame) -> DataFrame:
     """A number is assigned and the comment beside it names another; compared as text."""
-    rows = lines(files).where(F.col("line").rlike(NUMBER_COMMENT))
-    value = F.regexp_extract("line", NUMBER_COMMENT, 1)
-    others = F.filter(all_matches(F.regexp_extract("line", NUMBER_COMMENT, 2), ANY_NUMBER), lambda x: x != value)
-    rows = rows.select("path", "line_no", value.alias("value"), others.alias("others")).where(F.size("others") > 0)
-    return _finding(rows, "COMMENT_CONTRADICTS_LITERAL", "nit", "comment_contradicts_literal", F.concat("value", F.lit(": "), F.array_join("others", ", ")))
+    return _in_lines(files, _comment_contradictions())
 
 
 # ---- a line and those around it
@@ -161,19 +199,24 @@ STAND_INS = Context({"MOCK_FALLBACK": NOT_PRODUCTION}, STAND_IN, 0, 9, wanted=Tr
 GOROUTINES = Context({"GOROUTINE_NO_SYNC": GOROUTINE}, SYNC, 3, 3, category="goroutine_no_sync")
 
 
-def in_context(files: DataFrame, rule: Context) -> DataFrame:
+def in_context(files: DataFrame, *rules: Context) -> DataFrame:
+    """What the rules find, in one reading."""
     split = files.select("path", line_array(F.col("content")).alias("_lines"))
 
-    def look(x, i):
-        codes = F.array_compact(F.array(*[F.when(x.rlike(p), c) for c, p in rule.triggers.items()]))
-        start = F.greatest(i + 1 - rule.before, F.lit(1))
-        near = F.slice(F.col("_lines"), start, i + rule.after + 2 - start)
-        met = F.exists(near, lambda y: y.rlike(rule.marker))
-        return F.struct((i + 1).alias("line_no"), x.alias("line"), F.when((F.size(codes) > 0) & (met if rule.wanted else ~met), codes).alias("codes"))
+    def hits(rule: Context):
+        def look(x, i):
+            codes = F.array_compact(F.array(*[F.when(x.rlike(p), c) for c, p in rule.triggers.items()]))
+            start = F.greatest(i + 1 - rule.before, F.lit(1))
+            near = F.slice(F.col("_lines"), start, i + rule.after + 2 - start)
+            met = F.exists(near, lambda y: y.rlike(rule.marker))
+            holds = (F.size(codes) > 0) & (met if rule.wanted else ~met)
+            return F.struct((i + 1).alias("line_no"), x.alias("line"), F.when(holds, codes).alias("codes"), F.lit(rule.severity).alias("severity"), F.lit(rule.category).alias("category"))
+
+        return F.filter(F.transform("_lines", look), lambda h: h.codes.isNotNull())
 
-    hits = split.select("path", F.explode(F.filter(F.transform("_lines", look), lambda h: h.codes.isNotNull())).alias("h"))
-    rows = hits.select("path", "h.line_no", "h.line", F.explode("h.codes").alias("code"))
-    return _finding(rows, F.col("code"), rule.severity, rule.category, F.substring(F.trim("line"), 1, 120))
+    found = split.select("path", F.explode_outer(F.concat(*map(hits, rules))).alias("h")).where("h IS NOT NULL")  # outer: see _in_lines
+    rows = found.select("path", "h.line_no", "h.line", "h.severity", "h.category", F.explode("h.codes").alias("code"))
+    return _finding(rows, F.col("code"), F.col("severity"), F.col("category"), F.substring(F.trim("line"), 1, 120))
 
 
 def followed_by(first: DataFrame, then: DataFrame, keys: list[str], place: str, within: int) -> DataFrame:
@@ -184,10 +227,7 @@ def followed_by(first: DataFrame, then: DataFrame, keys: list[str], place: str,
 
 
 def all_rules(files: DataFrame) -> DataFrame:
-    """Every rule's findings, one DataFrame."""
-    out = hardcoded(files)
-    for more in (old_names, banners, schema_changes, comment_contradictions, sends_after_close):
-        out = out.unionByName(more(files))
-    for rule in (TENANT_QUERIES, TENANT_CACHES, TENANT_SIGNATURES, STAND_INS, GOROUTINES):
-        out = out.unionByName(in_context(files, rule))
-    return out
+    """Every rule's findings, one DataFrame. Files are read four times, however many rules there are: by lines, by lines and those around them, for banners and for channels."""
+    out = _in_lines(files, _hardcoded(), _old_names(), _schema_changes(), _comment_contradictions())
+    out = out.unionByName(in_context(files, TENANT_QUERIES, TENANT_CACHES, TENANT_SIGNATURES, STAND_INS, GOROUTINES))
+    return out.unionByName(banners(files)).unionByName(sends_after_close(files))

@@ -70,6 +70,14 @@ def test_other_rules(spark):
     ]
 
 
+def test_all_rules_read_files_four_times(spark):
+    """Not once for each rule; what the quick looks let by is what the rules find."""
+    df = files(spark, a__py="x = 1\x0b// DO NOT EDIT y", b__go="clo/* x */se(ch)\nch </* x */- 1\n", c__go="close(ch)\nch - 1", d__py="DO NOT EDIT", e__py=None)
+    got = rules.all_rules(df)
+    assert found(got) == [("a.py", 1, "GENERATED_BANNER_PRESENT"), ("b.go", 2, "CHANNEL_SEND_AFTER_CLOSE")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4
+
+
 def test_environment_drift(spark):
     df = files(spark, a__py="os.getenv('DB_URL') + os.environ['DB_URL']\nprocess.env.TOKEN\n$X", b__sh="echo ${DB_URL} $PORT")
     refs = rules.env_references(df)
